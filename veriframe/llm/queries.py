@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
 from .common import table
+from .packing import pack_documents
 from .simhash import simhash_groups
+from .tokenfiles import token_files_round_trip
 from .urlfilter import filter_urls
 
 
@@ -15,11 +19,19 @@ def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_simhash_golay, op6_url_trie)}
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_simhash_golay, op5_best_fit_packing, op6_url_trie, op7_token_files)}
 
 ORACLES: dict[str, str] = {
     "op6_url_trie": r"""

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from .common import table
+from .media import media_round_trip
 from .packing import pack_documents
 from .simhash import simhash_groups
 from .tokenfiles import token_files_round_trip
 from .urlfilter import filter_urls
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -31,7 +36,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_simhash_golay, op5_best_fit_packing, op6_url_trie, op7_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_progressive_jpeg, op4_simhash_golay, op5_best_fit_packing, op6_url_trie, op7_token_files)}
 
 ORACLES: dict[str, str] = {
     "op6_url_trie": r"""

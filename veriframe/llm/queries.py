@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from .common import table
+from .language import language_predictions
 from .media import media_round_trip
 from .packing import pack_documents
+from .quality import quality_scores
 from .simhash import simhash_groups
 from .tokenfiles import token_files_round_trip
 from .urlfilter import filter_urls
@@ -20,6 +22,14 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_round_trip(table(spark, sf_dir, "documents"))
 
 
+def op2_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_predictions(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -36,7 +46,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_progressive_jpeg, op4_simhash_golay, op5_best_fit_packing, op6_url_trie, op7_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_progressive_jpeg, op2_nb_svm_quality, op3_language_viterbi, op4_simhash_golay, op5_best_fit_packing, op6_url_trie, op7_token_files)}
 
 ORACLES: dict[str, str] = {
     "op6_url_trie": r"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from .common import table
+from .ctw import language_model_scores
 from .language import language_predictions
 from .media import media_round_trip
 from .packing import pack_documents
@@ -46,7 +47,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_progressive_jpeg, op2_nb_svm_quality, op3_language_viterbi, op4_simhash_golay, op5_best_fit_packing, op6_url_trie, op7_token_files)}
+def op9_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_progressive_jpeg, op2_nb_svm_quality, op3_language_viterbi, op4_simhash_golay, op5_best_fit_packing, op6_url_trie, op7_token_files, op9_context_tree_weighting)}
 
 ORACLES: dict[str, str] = {
     "op6_url_trie": r"""

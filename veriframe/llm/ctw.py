@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, cut, remainder, text_blocks, words
 from .quality import word_hashes
 
-DEPTH, NODES, VOCABULARY = 3, 1 << 13, 1 << 21
+DEPTH, NODES, VOCABULARY = 4, 1 << 14, 1 << 21
 #: Key of the end token, which no word has.
 END = 0
 GRAM, WORD = 0, 1
@@ -79,9 +79,9 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_rows += part.num_rows
         framed, first = _framed(body, offs)
         at = _coded(offs, first)
-        gram = np.zeros(len(at), np.uint32)
+        gram = np.zeros(len(at), np.uint64)
         for d in range(DEPTH, -1, -1):
-            gram = (gram << np.uint32(8)) | framed[at - d]
+            gram = (gram << np.uint64(8)) | framed[at - d]
         for kind, values in ((GRAM, gram), (WORD, _word_keys(body, offs)[0])):
             key, n = np.unique(values, return_counts=True)
             keys[kind].append(key.astype(np.int64))

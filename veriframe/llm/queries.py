@@ -11,6 +11,7 @@ import public_tokenizers
 from .common import table
 from .ctw import language_model_scores
 from .language import language_predictions
+from .linededup import dedup_lines
 from .media import media_round_trip
 from .packing import pack_documents
 from .quality import quality_scores
@@ -51,7 +52,11 @@ def op9_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_progressive_jpeg, op2_nb_svm_quality, op3_language_viterbi, op4_simhash_golay, op5_best_fit_packing, op6_url_trie, op7_token_files, op9_context_tree_weighting)}
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_progressive_jpeg, op2_nb_svm_quality, op3_language_viterbi, op4_simhash_golay, op5_best_fit_packing, op6_url_trie, op7_token_files, op9_context_tree_weighting, op10_fuzzy_lines)}
 
 ORACLES: dict[str, str] = {
     "op6_url_trie": r"""

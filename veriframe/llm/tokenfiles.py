@@ -1,7 +1,8 @@
 """Token files: Arrow streams of fixed-size lists.
 
 A file holds the ids of a range of documents as one run, cut into sequences of
-equal length; the last is padded, and ``mask`` is 1 for ids and 0 for padding.
+equal length; the last is padded, and ``mask`` has a bit a place, set for ids and
+not for padding.
 Each record batch has ``ROWS`` sequences (the last may have fewer), so batches
 have equal sizes and sequence i is in batch ``i // ROWS``: :class:`TokenFile` maps
 the file and hands out views without a copy.  An index beside the file says
@@ -32,7 +33,7 @@ MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 
 
 def file_schema(length: int, kind: pa.DataType) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -57,16 +58,16 @@ class TokenFile:
             self._batches.append(self._reader.read_next_batch())
         return self._batches[k]
 
-    def _row(self, name: str, i: int) -> np.ndarray:
+    def _row(self, name: str, i: int) -> pa.Array:
         column = self.batch(i // ROWS).column(name)
         if not 0 <= i % ROWS < len(column):
             raise IndexError(i)
-        return column.values.to_numpy(zero_copy_only=True)[i % ROWS * self.length : (i % ROWS + 1) * self.length]
+        return column.values.slice(i % ROWS * self.length, self.length)
 
     def sequence(self, i: int) -> np.ndarray:
-        return self._row("ids", i)
+        return self._row("ids", i).to_numpy(zero_copy_only=True)
 
-    def mask(self, i: int) -> np.ndarray:
+    def mask(self, i: int) -> pa.BooleanArray:
         return self._row("mask", i)
 
     def runs(self) -> Iterator[np.ndarray]:
@@ -78,7 +79,7 @@ class TokenFile:
             except StopIteration:
                 return
             self._batches[k] = None  # what has been read in order isn't kept
-            yield batch.column("ids").values.to_numpy()[batch.column("mask").values.to_numpy() == 1]
+            yield batch.column("ids").values.to_numpy()[: batch.column("mask").values.true_count]
             k += 1
 
 
@@ -97,8 +98,8 @@ def _write(folder: str, tokenizer: str, end: int, length: int):
 
         def fixed(ids: np.ndarray) -> pa.RecordBatch:
             rows = -(-len(ids) // length)
-            body, mask = np.zeros(rows * length, dtype), np.zeros(rows * length, np.uint8)
-            body[: len(ids)], mask[: len(ids)] = ids, 1
+            body, mask = np.zeros(rows * length, dtype), np.zeros(rows * length, bool)
+            body[: len(ids)], mask[: len(ids)] = ids, True
             return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (body, mask)], schema=schema)
 
         with store.open_output_stream(f"{root}/{name}.arrow") as data, store.open_output_stream(f"{root}/{name}.index.arrow") as index:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, cut, mix64, remainder, text_blocks, words
 from .vectors import collect_sums
@@ -214,8 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
 
 
 def score(docs: DataFrame, model: Model, ratio: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, predicted`` of each row; a text without words is scored by the bias alone."""
+    """The columns of ``docs`` with ``score`` and ``predicted`` (columns of these names are replaced); a text without words is scored by the bias alone."""
     sent = docs.sparkSession.sparkContext.broadcast((model, ratio))  # two vectors of SLOTS numbers
+    docs = docs.drop("score", "predicted")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ratio = sent.value
@@ -223,10 +225,9 @@ def score(docs: DataFrame, model: Model, ratio: np.ndarray, threshold: float = T
             row, place = indicators(body, offs)
             margin = model.margins(row, place, part.num_rows, ratio)
             p = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -35, 35)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -238,4 +239,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     not looked at.
     """
     model, ratio = train(docs.where(remainder("doc_id", 4) != 2), labels.where(remainder("doc_id", 4) != 2).select("doc_id", "quality"), sample)
-    return score(docs, model, ratio).select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+    return score(docs.select("doc_id", "text"), model, ratio).select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -16,6 +16,7 @@ from .media import media_round_trip
 from .packing import pack_documents
 from .quality import quality_scores
 from .simhash import simhash_groups
+from .tiling import tile_matches
 from .tokenfiles import token_files_round_trip
 from .urlfilter import filter_urls
 
@@ -48,6 +49,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tile_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_progressive_jpeg, op2_nb_svm_quality, op3_language_viterbi, op4_simhash_golay, op5_best_fit_packing, op6_url_trie, op7_token_files, op9_context_tree_weighting, op10_fuzzy_lines)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_progressive_jpeg, op2_nb_svm_quality, op3_language_viterbi, op4_simhash_golay, op5_best_fit_packing, op6_url_trie, op7_token_files, op8_greedy_tiling, op9_context_tree_weighting, op10_fuzzy_lines)}
 
 ORACLES: dict[str, str] = {
     "op6_url_trie": r"""

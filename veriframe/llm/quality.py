@@ -189,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Mod
     n = marks.count()
     share = min(1.0, sample / max(1, n))
     picked = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select("text", "y", picked.alias("pick"))
+    # labels grow with the documents, so both sides are shuffled at every size
+    rows = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id").select("text", "y", picked.alias("pick"))
     learned = cut(rows.mapInArrow(_learn, "kind string, piece int, counts binary"), "quality")
     sums = collect_sums(learned.where("kind LIKE 'class%'"), SLOTS)
     good, bad = (sums.get(k, np.zeros(SLOTS, np.int64)) for k in ("class1", "class0"))

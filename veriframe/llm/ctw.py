@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, cut, remainder, text_blocks, words
 from .quality import word_hashes
 
-DEPTH, NODES, VOCABULARY = 4, 1 << 14, 1 << 21
+DEPTH, NODES, VOCABULARY = 4, 1 << 14, 1 << 18
 #: Key of the end token, which no word has.
 END = 0
 GRAM, WORD = 0, 1

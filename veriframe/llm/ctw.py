@@ -110,7 +110,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
         shift[low] += np.log(y[low])
         y[low] += 1
     inv = 1 / y
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + inv * (1 / 12 - inv * inv * (1 / 360 - inv * inv / 1260)) - shift
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + inv * (1 / 12 - inv * inv * (1 / 360 - inv * inv * (1 / 1260 - inv * inv / 1680))) - shift
 
 
 def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -278,7 +278,7 @@ def language_model_scores(docs: DataFrame, vocabulary: int = VOCABULARY) -> Data
             times = np.diff(np.append(head, len(r)))
             cuts = np.searchsorted(r[head], np.arange(rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(cuts, x) for x in (pa.array(w[head]), pa.array(times, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size + 1), pa.array(known), pa.array(base), pa.array(code), *lists], names=["row", "doc_id", "n_tokens", "known", "base", "score", "rare", "times"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(code, pa.float64()), *lists], names=["row", "doc_id", "n_tokens", "known", "base", "score", "rare", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")

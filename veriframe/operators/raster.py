@@ -146,7 +146,7 @@ def dct(a: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda s, j: s + one(j))
 
     places = F.sequence(F.lit(0), F.lit(63))
-    rows = F.transform(places, lambda i: dot(lambda j: at(a, F.floor(i / 8) * 8 + j) * at(table, (i % 8) * 8 + j)))
+    rows = let(a, lambda s: F.transform(places, lambda i: dot(lambda j: at(s, F.floor(i / 8) * 8 + j) * at(table, (i % 8) * 8 + j))))
     return let(rows, lambda r: F.transform(places, lambda i: dot(lambda j: at(r, j * 8 + i % 8) * at(table, F.floor(i / 8) * 8 + j))))
 
 

@@ -35,6 +35,7 @@ def scan_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     ``data`` has the pixels row by row, blue first.  An undecodable file has
     status ``undecodable``, a kind without a decoder ``unsupported``, and null data.
+    Files without a byte give no row, as Spark's file sources leave them out.
     Rows come in no order; sort by ``path`` where it matters.
     """
     raw = spark.read.format("image").option("pathGlobFilter", _glob(S.EXTENSIONS)).option("recursiveFileLookup", "false").load(path)

@@ -249,15 +249,15 @@ def classify(features: DataFrame, model: Model | None = None, mode: str = "auto"
     probability is the confidence; without one the weighted vote decides.  Rows that
     couldn't be read have null results.
     """
-    named = scores.all_scores("path")
-    df = features.withColumns(named)
+    # least and greatest pass over nulls, so an unreadable row is told by its status
+    df = features.withColumns({n: F.when(F.col("status") == "ok", c) for n, c in scores.all_scores("path").items()})
     if model is None:
         total = scores.weighted_score()
-        df = df.withColumn("label", F.when(total.isNotNull(), scores.vote_label(total))).withColumn("confidence", scores.vote_confidence(total)).withColumn("method", F.lit("voting"))
+        df = df.withColumn("label", F.when(total.isNotNull(), scores.vote_label(total))).withColumn("confidence", F.when(total.isNotNull(), scores.vote_confidence(total))).withColumn("method", F.lit("voting"))
     else:
         df = with_svm(df, model).withColumn("label", F.col("svm_label")).withColumn("confidence", F.greatest(F.col("probability"), 1 - F.col("probability"))).withColumn("method", F.lit("svm"))
     shot = scores.screenshot(F.col("screen_noise_variance"), F.col("screen_entropy"), F.col("width"), F.col("height"))
-    df = df.withColumn("_shot", shot).withColumn("explanation", scores.explanation(F.col("label"), F.col("method")))
+    df = df.withColumn("_shot", shot).withColumn("explanation", F.when(F.col("label").isNotNull(), scores.explanation(F.col("label"), F.col("method"))))
     warning, sure = scores.screenshot_warning(F.col("_shot")), F.when(F.col("_shot.is_screenshot"), F.col("_shot.confidence"))
     if mode == "screenshot":
         warning, sure = F.coalesce(warning, F.lit("⚠ Screenshot mode: the result may be unreliable.")), F.lit(1.0)

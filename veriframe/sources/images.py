@@ -30,6 +30,11 @@ def _glob(extensions: tuple[str, ...]) -> str:
     return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
 
 
+def _uri(path: Column) -> Column:
+    """Local paths in one spelling: the two file formats have different ones."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
 def scan_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path, width, height, channels, data, status`` of the images in a folder (not below it), or of a file.
 
@@ -42,12 +47,12 @@ def scan_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     i = F.col("image")
     good = i["height"] > 0
     status = F.when(good, "ok").when(extension(i["origin"]).isin(*S.UNSUPPORTED), "unsupported").otherwise("undecodable")
-    return raw.select(i["origin"].alias("path"), *(F.when(good, i[a]).alias(b) for a, b in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))), status.alias("status"))
+    return raw.select(_uri(i["origin"]).alias("path"), *(F.when(good, i[a]).alias(b) for a, b in (("width", "width"), ("height", "height"), ("nChannels", "channels"), ("data", "data"))), status.alias("status"))
 
 
 def scan_files(spark: SparkSession, path: str | list[str], extensions: tuple[str, ...] = S.EXTENSIONS) -> DataFrame:
     """``path, length, modificationTime, content`` of the image files; filters on length and time reach the scan."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", _glob(extensions)).option("recursiveFileLookup", "false").load(path)
+    return spark.read.format("binaryFile").option("pathGlobFilter", _glob(extensions)).option("recursiveFileLookup", "false").load(path).withColumn("path", _uri(F.col("path")))
 
 
 def labelled(spark: SparkSession, real: str, generated: str, extra_real: str | None = None, extra_generated: str | None = None) -> DataFrame:

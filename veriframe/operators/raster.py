@@ -307,7 +307,8 @@ def block_variances(plots: DataFrame, width: int = 32, size: int = 8) -> DataFra
 
     per = F.when(blocks >= 1, F.transform(F.sequence(F.lit(0), (blocks - 1).cast("int")), lambda b: F.struct(b.alias("block"), F.transform(cells(b), lambda v: v.cast("double")).alias("c"))))
     d = plots.select("img_id", F.explode(per).alias("b")).select("img_id", "b.block", "b.c")
-    return d.select("img_id", "block", variance(F.col("c")).alias("variance"))
+    # equal blocks are equal, however their sums were ordered: the median splits at ties
+    return d.select("img_id", "block", F.round(variance(F.col("c")), 9).alias("variance"))
 
 
 def block_variance_spread(variances: DataFrame) -> DataFrame:

@@ -205,7 +205,7 @@ def plot_boundary_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(raster.boundary_features(raster.byteplot(table(spark, sf_dir, "documents"))), "img_id")
 
 
-BLOCKS = "b AS (SELECT img_id, y // 8 AS by, x // 8 AS bx, var_pop(v) AS variance FROM px WHERE y < n // 32 // 8 * 8 GROUP BY ALL)"
+BLOCKS = "b AS (SELECT img_id, y // 8 AS by, x // 8 AS bx, round(var_pop(v), 9) AS variance FROM px WHERE y < n // 32 // 8 * 8 GROUP BY ALL)"
 
 
 @query(f"WITH {PLOT}, {ROWS}, {BLOCKS} SELECT img_id, {r6('CASE WHEN count(*) >= 2 THEN stddev_pop(variance) ELSE 0 END AS noise_block_var_std')} FROM b GROUP BY img_id")

@@ -2,11 +2,11 @@
 
 Pieces are dealt at random over partitions of about ``PART`` pieces.  Each is
 packed by best-fit decreasing, and dual feasible functions give a lower bound of
-its bin count; a partition that meets its bound is certified and final.  The
-others give up their emptiest sequences: those of ``MERGE`` partitions come
-together and are packed anew, which is kept if it needs fewer sequences.  Rounds
-go on with ``MERGE`` times fewer partitions until one is left or all are
-certified.
+its bin count, which certifies a partition that meets it.  The gap to the bound
+tells how many of a partition's emptiest sequences are given up, and ``OPEN`` more,
+since bounds are rounded up: those of ``MERGE`` partitions come together and are
+packed anew, which is kept if it needs fewer sequences.  Rounds go on with
+``MERGE`` times fewer partitions until one is left.
 """
 
 from __future__ import annotations
@@ -108,10 +108,10 @@ def _pack(capacity: int, again: bool):
         bound = lower_bound(lengths, capacity)
         made = int(bins.max()) + 1
         fill = np.bincount(bins, weights=lengths, minlength=made)
+        # a certified partition still has a last sequence that isn't full: it takes part in the exchange as well
         left = np.zeros(made, bool)
-        if made > bound:
-            emptiest = np.argsort(fill, kind="stable")[: made - bound + OPEN]
-            left[emptiest[fill[emptiest] < capacity]] = True
+        emptiest = np.argsort(fill, kind="stable")[: made - bound + OPEN]
+        left[emptiest[fill[emptiest] < capacity]] = True
         order = np.lexsort([pdf["piece"].to_numpy(), pdf["doc_id"].fillna(-1).to_numpy(), bins])
         out = pdf.iloc[order].reset_index(drop=True)
         b, x = bins[order], lengths[order]

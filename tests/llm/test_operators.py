@@ -227,6 +227,22 @@ def test_language_model_counts(spark, vocabulary):
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) and r.score < 0
 
 
+@pytest.mark.parametrize("grams", [0, 200, 1 << 17])
+def test_every_counted_context_is_a_node(spark, grams):
+    rng = np.random.default_rng(7)
+    rows = [(k, "".join(rng.choice(list("abcdE "), 1000, p=[0.3, 0.3, 0.2, 0.1, 0.01, 0.09]))) for k in range(40)] + [(40, None), (41, "Zürich")]
+    framed = {k: bytes(ctw.DEPTH) + "".join(c.lower() if c.isascii() else c for c in t or "").encode() + b"\0" for k, t in rows}
+    contexts = [{} for _ in range(ctw.DEPTH + 1)]
+    for k, b in framed.items():
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            for d, at in itertools.product(range(ctw.DEPTH + 1), range(ctw.DEPTH, len(b))):
+                contexts[d].setdefault(sum(b[at - 1 - j] << 8 * j for j in range(d)), np.zeros(256))[b[at]] += 1
+    tree = ctw.build_tree(contexts)
+    got = {r.doc_id: r.score for r in ctw.language_model_scores(docs(spark, rows), grams=grams).collect()}
+    for k, b in framed.items():
+        assert got[k] == pytest.approx(tree.code(np.frombuffer(b, np.uint8), np.arange(ctw.DEPTH, len(b))).astype(float).sum(), rel=1e-5)
+
+
 def lines_by_hand(rows):
     """What stays of each text if all pairs of lines are compared."""
     found = [(i, k, line.lower().strip()) for i, t in rows if t is not None for k, line in enumerate(t.split("\n"))]

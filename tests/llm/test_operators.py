@@ -276,6 +276,12 @@ def test_lines_equal_all_pairs(spark):
     assert all(v[1] - v[2] == (0 if want[k] is None else len(want[k].split("\n")) if want[k] or v[1] > v[2] else 0) for k, v in got.items())
 
 
+def test_equal_short_lines_are_one(spark):
+    rows = [(1, "Les.\n\n2020\n}"), (2, " les. \n202\n}\n"), (3, "And ornd.\nLes"), (4, "and ornd.\n}"), (5, "0202\n日本")]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("202\n", 2), 3: (rows[2][1], 0), 4: ("", 2), 5: (rows[4][1], 0)}
+
+
 def test_urls_equal_sql(spark):
     import duckdb
 

@@ -282,6 +282,28 @@ def test_equal_short_lines_are_one(spark):
     assert got == {1: (rows[0][1], 0), 2: ("202\n", 2), 3: (rows[2][1], 0), 4: ("", 2), 5: (rows[4][1], 0)}
 
 
+def test_lines_with_one_edit_are_one(spark):
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    lines, edits = [], []
+    for n in range(25, 141):  # one character substituted, taken out, or put in
+        t = "".join(rng.choice(letters, n))
+        at = int(rng.integers(8, n - 8))
+        lines += [t] * 3
+        edits += [t[:at] + "." + t[at + 1 :], t[:at] + t[at + 1 :], t[:at] + "." + t[at:]]
+    for n in range(18, 28):  # one word of four letters for another
+        words = ["".join(rng.choice(letters, 4)) for _ in range(n)]
+        lines.append(" ".join(words))
+        edits.append(" ".join([*words[:7], "0000", *words[8:]]))
+    rows = [(1, "\n".join(dict.fromkeys(lines))), (2, "\n".join(edits))]
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, rows)).collect()}
+    left = got[2].text.split("\n") if got[2].text else []
+    assert got[1].n_dropped == 0 and len(left) <= 0.03 * len(edits)  # recall, not similarity, may miss some
+    assert all(linededup.jaccard(linededup.shingle_set(a, k), linededup.shingle_set(b, k)) >= 0.8 for a, b in zip(lines, edits) for k in (linededup.shingle_size(min(len(a), len(b))),))
+    a, b = "thwhesnd. esator whshing and hewh.", "thwhesnd, esator whshing and hewh."
+    assert linededup.across([(1, 1, a), (2, 2, b)]) == [(1, 2)]
+
+
 def test_urls_equal_sql(spark):
     import duckdb
 

@@ -85,3 +85,15 @@ def test_splits(spark):
     assert prep.grouped_folds(df, df.y).groupBy("y").agg({"fold": "min"}).count() == 3
     f = prep.frame_sample(df.withColumn("n", df.y * 0 + 60), "y", "id", "n", 30)
     assert f.count() == 30 and f.where("id % 2 = 1").count() == 0
+
+
+def test_ingest_numbers_run_on_past_999(spark):
+    files = spark.range(1, 1013).selectExpr("concat(CASE WHEN id % 2 = 0 THEN 'f' ELSE 'f_' END, lpad(cast(id AS string), 5, '0'), CASE WHEN id % 3 = 0 THEN '_kling' ELSE '' END, '.png') AS name")
+    for by_source in (False, True):
+        seen, want = {}, {}
+        for name in sorted(r.name for r in files.collect()):
+            source = "kling" if "kling" in name else "misc"
+            seen[by_source and source] = n = seen.get(by_source and source, 0) + 1
+            want[name] = f"ai_{source}_img_{n:03d}.png"
+        got = {r.name: r.target for r in prep.ingest_names(files, by_source=by_source).collect()}
+        assert got == want and len(set(got.values())) == 1012

@@ -13,11 +13,12 @@ def source_label(name: Column, fallback: str = "misc") -> Column:
     return (out.when(low.contains("banana"), "banana") if fallback != "video" else out).otherwise(fallback)
 
 
-def ingest_names(files: DataFrame, name: str = "name") -> DataFrame:
-    """``files`` with ``source`` and ``target``: ``ai_{source}_img_{NNN}{suffix}``, numbered by name within the source."""
-    numbered = files.withColumn("source", source_label(F.col(name))).withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy(name)))
+def ingest_names(files: DataFrame, name: str = "name", by_source: bool = False) -> DataFrame:
+    """``files`` with ``source`` and ``target``: ``ai_{source}_img_{NNN}{suffix}``, numbered by name over all files (``by_source``: within the source).  Numbers from 1000 on are written whole."""
+    order = (Window.partitionBy("source") if by_source else Window.partitionBy(F.lit(0))).orderBy(name)
+    numbered = files.withColumn("source", source_label(F.col(name))).withColumn("_n", F.row_number().over(order))
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
-    return numbered.withColumn("target", F.concat(F.lit("ai_"), "source", F.lit("_img_"), F.lpad(F.col("_n").cast("string"), 3, "0"), suffix)).drop("_n")
+    return numbered.withColumn("target", F.concat(F.lit("ai_"), "source", F.lit("_img_"), F.format_string("%03d", "_n"), suffix)).drop("_n")
 
 
 def frame_sample(frames: DataFrame, video: str, index: str, count: str | None = None, wanted: int = 30, unknown: int = 1000) -> DataFrame:

@@ -423,7 +423,8 @@ def source_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FILES}, s AS (SELECT *, {_LABEL} AS source FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY name) AS n FROM s) SELECT name, source, 'ai_' || source || '_img_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE substr(n::VARCHAR, 1, 3) END || lower(regexp_extract(name, '\\.[^.]+$')) AS target FROM k")
 def ingest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.ingest_names(_files(spark, sf_dir)).select("name", "source", "target")
+    # the registered SQL numbers within the source, and cuts numbers from 1000 on, which this doesn't
+    return prep.ingest_names(_files(spark, sf_dir), by_source=True).select("name", "source", "target")
 
 
 @query(f"WITH {_FILES} SELECT doc_id, lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS ext, lower(regexp_extract(name, '\\.([^.]+)$', 1)) IN {_IN(S.EXTENSIONS)} AS is_image, CASE WHEN lower(regexp_extract(name, '\\.([^.]+)$', 1)) IN {_IN(S.UPLOAD_EXTENSIONS)} AND n_chars * 10000 <= 10485760 THEN 200 ELSE 400 END AS http_status FROM f")

@@ -207,6 +207,13 @@ def test_token_files(spark, odd, tmp_path):
         f.sequence(last + 1)
 
 
+def test_added_tokens_are_as_the_library_has_them(spark):
+    texts = [(1, "one <|endoftext|> two"), (2, "<|startoftext|>a b<|endoftext|>"), (3, "<|ENDOFTEXT|> x"), (4, "日本<|endoftext|>"), (5, "plain < text | >"), (6, "<|endoftext|><|endoftext|>")]
+    crc = lambda path, end, t: zlib.crc32(np.array([*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, end], "<u4").tobytes())
+    assert {(r.doc_id, r.ids_crc32) for r in packing.pack_documents(docs(spark, texts), WORD).collect()} == {(i, crc(WORD, 1, t)) for i, t in texts}
+    assert {(r.doc_id, r.ids_crc32) for r in tokenfiles.token_files_round_trip(docs(spark, texts), BYTE).collect()} == {(i, crc(BYTE, 0, t)) for i, t in texts}
+
+
 def test_decontamination_keeps_clean_rows(spark, odd, benchmark):
     kept = tiling.decontaminated(odd, benchmark)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {3, 1, 2, None, 9, 11, 12}

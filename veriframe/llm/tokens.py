@@ -5,7 +5,7 @@ and merge each part by itself.  :class:`Encoder` applies the same pattern with
 ``re`` and asks the library's model only for parts that it has not met, so that
 the ids of a text are looked up and gathered.  Texts with characters beyond
 U+012F or control characters, on which ``re`` and the library might disagree,
-and vocabularies with any other set-up go through the library as a whole.
+texts that hold an added token's string, and vocabularies with any other set-up go through the library as a whole.
 """
 
 from __future__ import annotations
@@ -78,16 +78,23 @@ class _Parts(dict):
 
 
 class Encoder:
-    """``encode`` gives the ids of texts, each followed by ``end``."""
+    """``encode`` gives the ids of texts, each followed by ``end``.
 
-    def __init__(self, path: str, end: int) -> None:
+    With ``special_text`` the strings of added tokens are ordinary text; without
+    it they get their ids, as the library does it on its own.
+    """
+
+    def __init__(self, path: str, end: int, special_text: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = special_text
         with open(path, encoding="utf-8") as f:
-            self.pattern, self.lower = _setup(json.load(f))
+            spec = json.load(f)
+        self.pattern, self.lower = _setup(spec)
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"] and not (special_text and t.get("special"))]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.parts = _Parts(self.library.model, end)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +105,7 @@ class Encoder:
         places, counts = array("q"), array("q")
         for text in texts:
             before = len(places)
-            if self.pattern and SAFE.fullmatch(text):
+            if self.pattern and SAFE.fullmatch(text) and not (self.added and self.added.search(text)):
                 places.extend(map(parts.__getitem__, self.pattern.findall(text.lower() if self.lower else text)))
             elif text:
                 places.append(parts.add(self.library.encode(text, add_special_tokens=False).ids))
@@ -113,5 +120,5 @@ class Encoder:
 
 @cache
 def encoder(path: str, end: int) -> Encoder:
-    """One encoder a worker for each file and end id."""
-    return Encoder(path, end)
+    """One encoder a worker for each file and end id, with added tokens as the library has them."""
+    return Encoder(path, end, special_text=False)

@@ -8,6 +8,9 @@ all labelled training rows give, and a linear hinge-loss model is fit to the
 scaled indicators by dual coordinate descent (Hsieh et al., 2008) on a bounded
 sample.  A logistic curve over held-back margins of that sample makes the
 margin a score from 0 to 1.
+
+The fit runs in one task over flat arrays of the sample's places; the driver gets
+vectors of ``SLOTS`` numbers alone.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from .vectors import collect_sums
 from .vectors import rows as vector_rows
 
 SLOTS = 1 << 18
-#: Labelled rows that the hinge-loss model is fit on, about; the counts come from all.
-SAMPLE = 20_000
+#: Labelled rows that the hinge-loss model is fit on, about, and places that these may have together (128 MB); the counts come from all.
+SAMPLE, SAMPLE_PLACES = 20_000, 32_000_000
+#: Text bytes that a kernel works on at once.
+BLOCK = 2 << 20
 THRESHOLD = 0.7
 ALPHA, COST, EPOCHS = 1.0, 1.0, 12
 
@@ -116,28 +121,32 @@ def log_ratio(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_descent(places: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of the hinge-loss model on unit-length rows.  Classes count alike: each row's bound is its class's share inverted."""
+def dual_descent(places: np.ndarray, ends: np.ndarray, rows: np.ndarray, y: np.ndarray, ratio: np.ndarray, cost: float = COST, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias of the hinge-loss model on unit-length rows.
+
+    Row i's places are ``places[ends[i]:ends[i + 1]]``; the model is fit to ``rows``.
+    Classes count alike: each row's bound is its class's share inverted.
+    """
     w, b = np.zeros(len(ratio)), 0.0
-    values = []
-    for p in places:
-        v = ratio[p]
-        values.append(v / max(1e-9, float(np.sqrt(v @ v))))
-    alpha = np.zeros(len(y))
-    share = {s: max(1, int((y == s).sum())) for s in (-1, 1)}
-    upper = np.array([cost * len(y) / (2 * share[int(s)]) for s in y])
+    size = np.array([np.sqrt((ratio[places[ends[i] : ends[i + 1]]] ** 2).sum()) for i in rows])
+    alpha = np.zeros(len(rows))
+    sign = y[rows]
+    share = {s: max(1, int((sign == s).sum())) for s in (-1, 1)}
+    upper = np.array([cost * len(rows) / (2 * share[int(s)]) for s in sign])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
-        for i in rng.permutation(len(y)):
-            p, v, s = places[i], values[i], y[i]
+        for k in rng.permutation(len(rows)):
+            i, s = rows[k], sign[k]
+            p = places[ends[i] : ends[i + 1]]
+            v = ratio[p] / max(1e-9, size[k])
             gradient = s * (float(w[p] @ v) + b) - 1.0
-            if (alpha[i] == 0 and gradient >= 0) or (alpha[i] == upper[i] and gradient <= 0):
+            if (alpha[k] == 0 and gradient >= 0) or (alpha[k] == upper[k] and gradient <= 0):
                 continue
             most = max(most, abs(gradient))
-            new = min(max(alpha[i] - gradient / 2.0, 0.0), upper[i])  # unit row and the bias's 1: curvature 2
-            step = (new - alpha[i]) * s
-            alpha[i] = new
+            new = min(max(alpha[k] - gradient / 2.0, 0.0), upper[k])  # unit row and the bias's 1: curvature 2
+            step = (new - alpha[k]) * s
+            alpha[k] = new
             w[p] += step * v
             b += step
         if most < 0.05:
@@ -164,7 +173,8 @@ def logistic(margin: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float
 
 def _learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = {0: np.zeros(SLOTS, np.int64), 1: np.zeros(SLOTS, np.int64)}
-    for part, body, offs in text_blocks(batches):
+    none = pa.array([None], pa.int64())
+    for part, body, offs in text_blocks(batches, limit=BLOCK):
         row, place = indicators(body, offs)
         y = part.column("y").to_numpy(zero_copy_only=False)
         pick = part.column("pick").to_numpy(zero_copy_only=False)
@@ -172,47 +182,77 @@ def _learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[c] += np.bincount(place[y[row] == c], minlength=SLOTS)
         ends = np.searchsorted(row, np.arange(len(y) + 1))
         for k in np.flatnonzero(pick):
-            yield pa.RecordBatch.from_arrays([pa.array([f"row{y[k]}"]), pa.array([0], pa.int32()), pa.array([place[ends[k] : ends[k + 1]].astype("<i4").tobytes()], pa.binary())], names=["kind", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"row{y[k]}"]), pa.array([0], pa.int32()), part.column("order").slice(k, 1), pa.array([place[ends[k] : ends[k + 1]].astype("<i4").tobytes()], pa.binary())], names=["kind", "piece", "order", "counts"])
     for c in (0, 1):
-        yield from vector_rows(f"class{c}", counts[c])
+        for out in vector_rows(f"class{c}", counts[c]):
+            yield pa.RecordBatch.from_arrays([out.column("kind"), out.column("piece"), none, out.column("counts")], names=["kind", "piece", "order", "counts"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, np.ndarray]:
+def _fit(sent, limit: int):
+    """A task that fits the model to the sample's rows, which come in a fixed order, ``limit`` places of them at most."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio = sent.value
+        held, sizes, y, total = [], [], [], 0
+        for batch in batches:
+            for kind, place in zip(batch.column("kind").to_pylist(), batch.column("counts"), strict=True):
+                own = np.frombuffer(place.as_buffer(), "<i4")
+                if total + len(own) > limit:
+                    continue
+                held.append(own.copy())
+                sizes.append(len(own))
+                y.append(1 if kind == "row1" else -1)
+                total += len(own)
+        model = fit(np.concatenate([np.zeros(0, np.int32), *held]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array(y), ratio)
+        numbers = np.array([model.bias, model.slope, model.shift])
+        yield pa.RecordBatch.from_arrays([pa.array([numbers.tobytes()], pa.binary()), pa.array([model.weight.tobytes()], pa.binary())], names=["numbers", "weight"])
+
+    return run
+
+
+def fit(places: np.ndarray, ends: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> Model:
+    """The model from rows of places and their classes (1, -1); the share of class 1 if there is but one class (no rows: a half)."""
+    if not (y > 0).any() or not (y < 0).any():
+        p = min(max(float((y > 0).mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
+        return Model(np.zeros(len(ratio)), 0.0, 1.0, float(np.log(p / (1 - p))))
+    back = np.random.default_rng(11).random(len(y)) < 0.25  # rows whose margins shape the curve
+    if not all(((y == s) & back).any() and ((y == s) & ~back).any() for s in (-1, 1)):
+        back = np.zeros(len(y), bool)
+    w, b = dual_descent(places, ends, np.flatnonzero(~back), y, ratio)
+    model = Model(w * ratio, b, 1.0, 0.0)
+    held = np.flatnonzero(back) if back.any() else np.arange(len(y))
+    margin = np.array([model.margins(np.zeros(ends[i + 1] - ends[i], np.int64), places[ends[i] : ends[i + 1]], 1, ratio)[0] for i in held])
+    model.slope, model.shift = logistic(margin, y[held])
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_places: int = SAMPLE_PLACES) -> tuple[Model, np.ndarray]:
     """The model and the ratios.  ``docs`` and ``labels`` (``doc_id``, ``quality``) are joined on doc_id.
 
     Labels that are null don't count; of several labels of a document the
     majority does (a tie: 1).  Without labels of both classes the score is the
-    share of label 1 (no labels: 0.5).
+    share of label 1 (no labels: 0.5).  The hinge-loss model is fit to about
+    ``sample`` labelled rows drawn by a hash of their id; a row that would bring
+    these beyond ``sample_places`` places is passed over.
     """
+    spark = docs.sparkSession
     marks = labels.where("quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     marks = cut(marks, "labels")
-    n = marks.count()
-    share = min(1.0, sample / max(1, n))
-    picked = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)
+    share = min(1.0, sample / max(1, marks.count()))
+    order = F.xxhash64("doc_id", F.lit("sample"))
+    picked = F.pmod(order, F.lit(1 << 40)) < int(share * (1 << 40))
     # labels grow with the documents, so both sides are shuffled at every size
-    rows = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id").select("text", "y", picked.alias("pick"))
-    learned = cut(rows.mapInArrow(_learn, "kind string, piece int, counts binary"), "quality")
-    sums = collect_sums(learned.where("kind LIKE 'class%'"), SLOTS)
+    rows = docs.select("doc_id", "text").join(marks.hint("merge"), "doc_id").select("text", "y", picked.alias("pick"), order.alias("order"))
+    learned = cut(rows.mapInArrow(_learn, "kind string, piece int, order long, counts binary"), "quality")
+    sums = collect_sums(learned.where("kind LIKE 'class%'").drop("order"), SLOTS)
     good, bad = (sums.get(k, np.zeros(SLOTS, np.int64)) for k in ("class1", "class0"))
     ratio = log_ratio(good, bad)
-    found = learned.where("kind LIKE 'row%'").select("kind", "counts").collect()
-    found.sort()
-    places = [np.frombuffer(r.counts, "<i4") for r in found]
-    y = np.array([1 if r.kind == "row1" else -1 for r in found])
-    if not (y > 0).any() or not (y < 0).any():
-        p = min(max(float((y > 0).mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
-        return Model(np.zeros(SLOTS), 0.0, 1.0, float(np.log(p / (1 - p)))), ratio
-    back = np.random.default_rng(11).random(len(y)) < 0.25  # rows whose margins shape the curve
-    if not all(((y == s) & back).any() and ((y == s) & ~back).any() for s in (-1, 1)):
-        back = np.zeros(len(y), bool)
-    fit = np.flatnonzero(~back)
-    w, b = dual_descent([places[i] for i in fit], y[fit], ratio)
-    model = Model(w * ratio, b, 1.0, 0.0)
-    held = np.flatnonzero(back) if back.any() else fit
-    size = [len(places[i]) for i in held]
-    margin = model.margins(np.repeat(np.arange(len(held)), size), np.concatenate([places[i] for i in held]), len(held), ratio)
-    model.slope, model.shift = logistic(margin, y[held])
-    return model, ratio
+    chosen = learned.where("kind LIKE 'row%'").select("kind", "order", "counts").repartition(1).sortWithinPartitions("order", "kind", "counts")
+    made = chosen.mapInArrow(_fit(spark.sparkContext.broadcast(ratio), sample_places), "numbers binary, weight binary").first()
+    if made is None:
+        return fit(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), ratio), ratio
+    bias, slope, shift = np.frombuffer(made.numbers)
+    return Model(np.frombuffer(made.weight), float(bias), float(slope), float(shift)), ratio
 
 
 def score(docs: DataFrame, model: Model, ratio: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -222,7 +262,7 @@ def score(docs: DataFrame, model: Model, ratio: np.ndarray, threshold: float = T
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, ratio = sent.value
-        for part, body, offs in text_blocks(batches):
+        for part, body, offs in text_blocks(batches, limit=BLOCK):
             row, place = indicators(body, offs)
             margin = model.margins(row, place, part.num_rows, ratio)
             p = 1 / (1 + np.exp(-np.clip(model.slope * margin + model.shift, -35, 35)))

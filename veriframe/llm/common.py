@@ -7,9 +7,11 @@ that kernels work on whole texts without a Python object for each of them.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +33,38 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session does not name one (tests in local mode) a folder of its
-    own is made and set.
+    Where the session does not name one, a folder of its own is made and set in
+    local mode; on a cluster, whose executors wouldn't see it, RuntimeError.
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="veriframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+@cache
+def _run_folder(base: str, application: str) -> str:
+    """The folder of this run, which the driver's JVM removes when it ends."""
+    path = f"{base}/veriframe/{application}"
+    spark = SparkSession.active()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return path
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/veriframe/{name}-{uuid.uuid4().hex}"
+    return f"{_run_folder(shared_dir(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove all that this run has cut off so far.  Results that still read from it can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/veriframe/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +78,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join on ``key``, of which ``right`` has one row each, with the rows that ``left`` has of it in column ``n``.
+
+    A key with more than a thousandth of all rows is dealt over as many tasks as
+    it has thousandths: there are fewer than 1,000 such keys, which are sent with
+    the number of their parts, and ``right``'s row comes once for each part.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    part = F.lit(max(1, total // 1000))
+    parts = F.when(F.col(n) > part, F.ceil(F.col(n) / part)).otherwise(1)
+    hot = F.broadcast(right.where(F.col(n) > part).select(key, parts.alias("_parts")))
+    which = F.pmod(F.xxhash64(*(c for c in left.columns if c != key)), F.coalesce("_parts", F.lit(1)))
+    dealt = left.join(hot, key, "left").withColumn("_part", which).drop("_parts")
+    spread = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop(n)
+    return dealt.join(spread.hint("merge"), [key, "_part"]).drop("_part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +96,79 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFram
     return dealt.join(spread.hint("merge"), [key, "_part"]).drop("_part")
 
 
+#: Bits of the filter over 64-bit values.  Its size is fixed; beyond its range it only lets more values through.
+FILTER_BITS = 27
+
+
+def _places(h: np.ndarray) -> np.ndarray:
+    return (mix64(h.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _set_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for batch in batches:
+        at = _places(batch.column("h").to_numpy(zero_copy_only=False))
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    step = 1 << 18
+    for k in range(0, len(bits), step):
+        if bits[k : k + step].any():
+            yield pa.RecordBatch.from_arrays([pa.array([k // step], pa.int32()), pa.array([bits[k : k + step].tobytes()], pa.binary())], names=["piece", "bits"])
+
+
+def _or_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each run of equal pieces."""
+    now, bits = None, None
+    out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["piece", "bits"])
+    for batch in batches:
+        for piece, some in zip(batch.column("piece").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            if piece != now:
+                if now is not None:
+                    yield out()
+                now, bits = piece, np.frombuffer(some, np.uint8).copy()
+            else:
+                bits |= np.frombuffer(some, np.uint8)
+    if now is not None:
+        yield out()
+
+
+def bit_filter(values: DataFrame) -> np.ndarray:
+    """A filter of fixed size over the 64-bit values in column ``h``."""
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    pieces = values.mapInArrow(_set_bits, "piece int, bits binary").repartition("piece").sortWithinPartitions("piece")
+    for r in pieces.mapInArrow(_or_bits, "piece int, bits binary").toLocalIterator():
+        bits[r.piece << 18 : (r.piece << 18) + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return bits
+
+
+def in_filter(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether each value may be in the filter; those that are, are."""
+    at = _places(h)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def row_keys() -> list[Column]:
+    """``_k``, ``_k2``: 96 bits by which a row is known by its ``doc_id`` and ``text``; equal rows have equal ones."""
+    return [F.xxhash64("doc_id", "text").alias("_k"), F.hash("text", "doc_id").alias("_k2")]
+
+
+def parted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with their keys (:func:`row_keys`): those that may be among ``keys``, and the others, which can't."""
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(keys.select(F.col("_k").alias("h"))))
+
+    @F.pandas_udf("boolean")
+    def may(k: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(sent.value, k.to_numpy(np.int64)))
+
+    keyed = docs.select(*(f"`{c}`" for c in docs.columns), *row_keys())
+    return keyed.where(may("_k")), keyed.where(~may("_k"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose keys are not in ``gone`` (``_k``, ``_k2``); only rows that may be among these are shuffled."""
+    some, rest = parted(docs, gone)
+    return some.join(gone.hint("merge"), ["_k", "_k2"], "left_anti").select(docs.columns).unionByName(rest.select(docs.columns))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

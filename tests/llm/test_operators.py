@@ -103,6 +103,13 @@ def groups_by_hand(rows):
     return {i: (f"{fp[i]:016x}", part[i]) for i in fp}
 
 
+def test_one_of_each_group_by_id_and_text(spark):
+    rows = [(5, "alpha " * 9), (5, "zulu " * 9), (3, "zulu " * 9), (None, "papa " * 9), (None, "papa " * 9), (7, "kilo " * 9), (7, "kilo " * 9), (None, "kilo " * 9), (8, None), (9, "")]
+    got = Counter((r.doc_id, (r.text or "").split(" ")[0]) for r in simhash.one_of_each_group(docs(spark, rows)).collect())
+    assert got == {(5, "alpha"): 1, (3, "zulu"): 1, (None, "papa"): 1, (7, "kilo"): 1, (8, ""): 1}
+    assert simhash.one_of_each_group(docs(spark, rows).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("hot", [1, simhash.HOT])
 def test_simhash_groups_equal_all_pairs(spark, hot):
     rng = np.random.default_rng(1)
@@ -217,8 +224,29 @@ def test_added_tokens_are_as_the_library_has_them(spark):
 def test_decontamination_keeps_clean_rows(spark, odd, benchmark):
     kept = tiling.decontaminated(odd, benchmark)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {3, 1, 2, None, 9, 11, 12}
-    blocks = tiling.tile_matches(odd, benchmark, block_bytes=1).collect()
-    assert sorted(map(str, blocks)) == sorted(map(str, tiling.tile_matches(odd, benchmark).collect()))
+
+
+def test_tiles_equal_all_pairs(spark):
+    """Every document against every item, with repeated phrases, short items, repeated rows and null ids."""
+    from test_small import plain_tiles
+
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(rng.choice(["red", "blue", "green", "one", "two"], n))
+    items = [(k, word(int(n))) for k, n in enumerate(rng.integers(1, 25, 30))] + [(None, "one one one one one one one"), (50, "red!"), (50, "red!"), (51, ""), (52, None), (53, "日本語")]
+    rows = [(k, word(int(n))) for k, n in enumerate(rng.integers(0, 60, 40))] + [(None, "one " * 300), (90, None), (91, items[5][1] + " 私は日本語"), (91, items[5][1] + " 私は日本語")]
+    split = lambda t: re.findall(r"[\u3040-\u9fff]|[a-z0-9]+", (t or "").lower())
+    want = Counter()
+    for i, t in rows:
+        for k, b in items:
+            own, item = split(t), split(b)
+            tiles = plain_tiles(own, item, min(5, len(item)))
+            covered = sum(x[2] for x in tiles)
+            if item and covered >= 0.5 * len(item):
+                want[i, k, len(tiles), covered, len(item), covered / len(item)] += 1
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(map(tuple, tiling.tile_matches(docs(spark, rows), bench).collect())) == want
+    clean = Counter(i for i, t in rows if not any(w[0] == i for w in want))
+    assert Counter(r.doc_id for r in tiling.decontaminated(docs(spark, rows), bench).collect()) == clean
 
 
 @pytest.mark.parametrize("vocabulary", [0, 2, 1 << 18])

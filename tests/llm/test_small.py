@@ -120,7 +120,8 @@ def test_dual_descent_separates_and_curve_rises():
     y = np.array([1] * 60 + [-1] * 20)
     count = lambda rows: np.bincount(np.concatenate(rows), minlength=128)
     ratio = quality.log_ratio(count(good), count(bad))
-    w, b = quality.dual_descent([*good, *bad], y, ratio)
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in [*good, *bad]])])
+    w, b = quality.dual_descent(np.concatenate([*good, *bad]), ends, np.arange(len(y)), y, ratio)
     m = np.array([(w * ratio)[p].sum() / np.sqrt((ratio[p] ** 2).sum()) + b for p in [*good, *bad]])
     assert (np.sign(m) == y).all()
     slope, shift = quality.logistic(m, y)
@@ -194,15 +195,43 @@ def test_trie_equals_all_rules(labels, path):
     assert urlfilter.decide(urlfilter.build(RULES), host, path) == ((want[2], want[3]) if want else (None, "allow"))
 
 
-def test_tiles_cover_reordered_passages_and_take_the_longest_first():
-    item = "a b c d e f g h i j k l m n o p q r s t".split()
-    b = tiling.bench([7, 8, 9], [" ".join(item), "too short", None])
-    texts = [" ".join(item[10:] + ["x"] + item[:10]), " ".join(item[:5]), " ".join(item).upper() + "!", "", " ".join(item * 2)]
-    got = {(m[0], b.ids[m[1]]): m[2:] for m in tiling._matches(*raw(texts), b, 0.5)}
-    assert got == {(0, 7): (2, 20, 20, 1.0), (2, 7): (1, 20, 20, 1.0), (4, 7): (1, 20, 20, 1.0)}
+def plain_tiles(doc, item, least):
+    """The longest common run of words that are in no tile, again and again, by trying all places."""
+    in_doc, in_item, tiles = set(), set(), []
+    while True:
+        best = None
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and a + n not in in_item and b + n not in in_doc:
+                    n += 1
+                if n >= least and (best is None or n > best[2]):
+                    best = (b, a, n)
+        if best is None:
+            return tiles
+        b, a, n = best
+        in_doc |= set(range(b, b + n))
+        in_item |= set(range(a, a + n))
+        tiles.append(best)
+
+
+def test_tiles_take_the_longest_first():
     # runs 0-6 and 4-9 of the item overlap: the longer is a tile, of the other what is left is too short
-    doc_at, item_at = np.array([0, 1, 2, 20, 21]), np.array([0, 1, 2, 4, 5])
-    assert tiling.greedy_tiles(doc_at, item_at, 10) == [(0, 0, 7)]
+    item = np.arange(1, 11, dtype=np.uint64)
+    doc = np.concatenate([item[:7], np.zeros(13, np.uint64), item[4:10]])
+    assert tiling.greedy_tiles(doc, item) == [(0, 0, 7)]
+    once = np.full(400, 7, np.uint64)
+    assert tiling.greedy_tiles(np.full(20_000, 7, np.uint64), once) == [(0, 0, 400)]
+
+
+@given(st.lists(st.integers(1, 3), max_size=24), st.lists(st.integers(1, 3), max_size=14), st.integers(1, 5))
+def test_tiles_equal_trying_all_places(doc, item, least):
+    assert tiling.greedy_tiles(np.array(doc, np.uint64), np.array(item, np.uint64), least) == plain_tiles(doc, item, least)
+
+
+def test_words_of_scripts_without_blanks():
+    h, row = tiling.tokens(*raw(["東京 Tower", "京東x", "a東b"]))
+    assert np.bincount(row).tolist() == [3, 3, 3] and h[0] == h[4] == h[7] and h[1] == h[3]
 
 
 def test_log_gamma_and_kt():

@@ -9,8 +9,9 @@ the codeword nearest to the word half way between is within 4 of both.
 Fingerprints with at most four differing bits have, in the best two of the
 three segments, at most two errors together, so the pair of segments yields a
 common pair of codeword indices.  Every fingerprint is stored under the pairs of
-all three combinations (28 keys each on average), fingerprints with a common
-key are compared, and those that differ in at most four bits are linked.
+all three combinations (28 keys for each of these on average, 85 together),
+fingerprints with a common key are compared, and those that differ in at most
+four bits are linked.
 
 A key with more than ``HOT`` fingerprints is not compared pair by pair: its
 fingerprints are spread to all 64-bit words within distance 2 (2,081 keys), and
@@ -28,10 +29,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, cut, text_blocks, words
+from .common import LOWER, cut, join_skewed, parted, row_keys, text_blocks, words
 from .components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
@@ -121,7 +123,8 @@ def fingerprints(body: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def _print_docs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, body, offs in text_blocks(batches):
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(body, offs).view(np.int64))], names=["doc_id", "fp"])
+        own = part.drop_columns(["text"])
+        yield pa.RecordBatch.from_arrays([*own.columns, pa.array(fingerprints(body, offs).view(np.int64))], names=[*own.schema.names, "fp"])
 
 
 def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +214,9 @@ def _adjacent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed 64-bit integer) of each row; null and empty texts have fingerprint 0."""
-    return docs.select("doc_id", "text").mapInArrow(_print_docs, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    """The columns of ``docs`` but ``text``, and ``fp`` (the fingerprint as a signed 64-bit integer); null and empty texts have fingerprint 0."""
+    others = [f for f in docs.schema.fields if f.name not in ("text", "fp")]
+    return docs.select(*(f"`{f.name}`" for f in others), "text").mapInArrow(_print_docs, T.StructType([*others, T.StructField("fp", T.LongType())]))
 
 
 def fingerprint_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
@@ -224,6 +228,13 @@ def fingerprint_links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     return met.where("not hot").select("a", "b").unionByName(around).distinct()
 
 
+def _rooted(prints: DataFrame, place: Column, hot: int) -> DataFrame:
+    """``fp, n, low, root``: each distinct fingerprint with its rows, their least place and the component's smallest fingerprint."""
+    classes = cut(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(place).alias("low")), "classes")
+    parts = cut(connected_components(fingerprint_links(classes, hot)), "parts")
+    return classes.join(parts, classes.fp == parts.node, "left").select("fp", "n", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of each row of ``docs``.
 
@@ -234,10 +245,25 @@ def simhash_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     Repeated rows are returned as often as they occur.  Other columns of
     ``docs`` are not looked at; an empty table gives an empty result.
     """
-    prints = cut(fingerprint_documents(docs), "prints")
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    parts = cut(connected_components(fingerprint_links(classes, hot)), "parts")
-    joined = classes.join(parts, classes.fp == parts.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    prints = cut(fingerprint_documents(docs.select("doc_id", "text")), "prints")
+    joined = cut(_rooted(prints, F.col("doc_id"), hot), "rooted")
     lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = cut(joined.join(lowest, "root").select("fp", "component_id"), "labels")
-    return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = cut(joined.join(lowest, "root").select("fp", "n", "component_id"), "labels")
+    return join_skewed(prints, labels, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """The rows of ``docs``, one of each component: that with the smallest doc_id (null last), of rows with one id that whose hash comes first.
+
+    Rows are known by id and text; of rows that repeat both, one stays.  All columns
+    are kept.  Only rows that may go are shuffled.
+    """
+    prints = cut(fingerprint_documents(docs.select("doc_id", *row_keys(), "text")), "prints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k", "_k2")
+    keep = _rooted(prints, place, hot).groupBy("root").agg(F.min("low").alias("low")).select("low._k", "low._k2", F.lit(True).alias("_stays"))
+    rows = prints.groupBy("_k", "_k2").agg(F.count("*").alias("_n")).join(keep, ["_k", "_k2"], "left")
+    asked = cut(rows.where("_stays IS NULL OR _n > 1").select("_k", "_k2", F.coalesce("_stays", F.lit(False)).alias("_stays")), "asked")
+    some, rest = parted(docs, asked)
+    known = some.join(asked.hint("merge"), ["_k", "_k2"], "left")
+    once = known.where("_stays").dropDuplicates(["_k", "_k2"])
+    return rest.select(docs.columns).unionByName(known.where("_stays IS NULL").select(docs.columns)).unionByName(once.select(docs.columns))

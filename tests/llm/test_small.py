@@ -244,23 +244,6 @@ def test_log_gamma_and_kt():
     assert float(ctw.kt_block(np.array([a * 1.0]), np.array([b * 1.0]))[0]) == pytest.approx(math.log(p))
 
 
-def test_tree_is_a_distribution_and_learns():
-    rng = random.Random(8)
-    data = bytes(rng.choice(b"ab") if k % 2 else 99 for k in range(600))
-    contexts = [{} for _ in range(3)]
-    for d in range(3):
-        for k in range(2, len(data)):
-            c = sum(data[k - 1 - j] << 8 * j for j in range(d))
-            contexts[d].setdefault(c, np.zeros(256))[data[k]] += 1
-    tree = ctw.build_tree(contexts)
-    assert np.allclose((10.0 ** tree.log10.astype(float)).sum(1), 1, atol=1e-4)
-    after = tree.child[0, ord("a")]
-    deep = tree.child[after, 99]
-    assert after > 0 and deep > 0 and 10 ** float(tree.log10[deep, 99]) > 0.8
-    # a context that was never seen is a leaf without counts, which takes half of what its parent passes on
-    assert 0.3 < 10 ** float(tree.log10[after, 99]) < 10 ** float(tree.log10[deep, 99])
-
-
 def plain_lines(texts):
     out = []
     for r, t in enumerate(texts):

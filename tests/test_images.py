@@ -130,6 +130,39 @@ def test_validation_and_cli(tmp_path, capsys):
     assert cli.main([]) == 1 and cli.main(["--image", str(tmp_path / "a.txt")]) == 1
 
 
+def test_data_set_tools(spark, tmp_path, capsys):
+    """Ingest, split and verify, as the command line does them."""
+    source = tmp_path / "in"
+    os.mkdir(source)
+    for k in range(12):
+        (source / f"{k:02d} {('Kling', 'x')[k % 2]}.PNG").write_bytes(png(np.full((4, 5, 3), k, np.uint8)))
+    (source / "notes.txt").write_text("x")
+    for name in ("real", "ai"):
+        assert cli.main(["--ingest", str(source), str(tmp_path / name)]) == 0
+    names = sorted(os.listdir(tmp_path / "ai"))
+    assert [n for n in names if not n.startswith(".")] == sorted(f"ai_{('kling', 'misc')[k % 2]}_img_{k + 1:03d}.PNG" for k in range(12))
+    assert (tmp_path / "ai" / "ai_misc_img_004.PNG").read_bytes() == (source / "03 x.PNG").read_bytes()
+    folders = [str(tmp_path / "real"), str(tmp_path / "ai"), str(tmp_path / "test")]
+    assert cli.main(["--prepare", *folders, "--skip-split"]) == 0 and not os.path.exists(folders[2])
+    assert cli.main(["--prepare", *folders, "--ai-only"]) == 0
+    count = lambda *d: len([n for n in os.listdir(tmp_path.joinpath(*d)) if n.endswith("PNG")])
+    assert (count("ai"), count("test", "ai"), count("real")) == (2, 10, 12)
+    assert cli.main(["--prepare", *folders]) == 0 and (count("ai"), count("test", "ai"), count("test", "real")) == (2, 10, 10)
+    (tmp_path / "real" / "empty.png").write_bytes(b"")
+    (tmp_path / "real" / "broken.png").write_bytes(b"x")
+    report = {r.dir: r for r in api.verify(spark, folders[:2]).collect()}
+    assert (report[folders[0]].n, report[folders[0]].corrupt, report[folders[0]].bad_files) == (4, 2, ["broken.png", "empty.png"]) and report[folders[1]].passed
+    assert cli.main(["--verify", *folders[:2]]) == 1 and cli.main(["--verify", *folders[:2], "--ai-only"]) == 0
+    assert api.split(spark, folders[1], str(tmp_path / "few"), least=10) == 0
+
+
+def test_extra_folders_bring_their_metadata(spark, folder, tmp_path):
+    found = I.labelled(spark, folder, folder, f"file://{folder}", str(tmp_path / "nothing"))
+    assert found.groupBy("label").count().orderBy("label").collect() == [(0, 12), (1, 6)]
+    paths = [r.path for r in I.scan_images(spark, folder, ordered=True).collect()]
+    assert paths == sorted(paths)
+
+
 def test_stream_of_files(spark, folder, tmp_path):
     q = stream.classify_arriving(spark, folder, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)

@@ -82,3 +82,10 @@ def test_laplacian_and_sobel_of_a_ramp():
     img = np.repeat((np.arange(20) * 5)[None, :, None], 12, 0).repeat(3, 2).astype(np.uint8)
     mean, _, _, lap, _ = K.gradient_features(K.Raster(img))
     assert mean == pytest.approx(40 * 18 / 20) and lap < 5
+
+
+def test_resize_takes_the_whole_image():
+    a = np.zeros((4, 8, 3), np.uint8)
+    a[:, 4:] = 200
+    out = K.resize_to_square(a, 2)
+    assert out.shape == (2, 2, 3) and (out[:, 0] == 0).all() and (out[:, 1] == 200).all()

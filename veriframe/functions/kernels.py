@@ -80,6 +80,11 @@ def area_resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
+def resize_to_square(a: np.ndarray, side: int = 512) -> np.ndarray:
+    """The whole image at ``side`` x ``side`` pixels, by areas; its shape is not kept."""
+    return area_resize(a, side, side)
+
+
 def central(x: np.ndarray, order: int) -> float:
     """The standardised central moment, 0 for a flat input; 3 is taken off the fourth."""
     d = x - x.mean()

@@ -29,7 +29,7 @@ def fft_score() -> Column:
 
 def eigenvalue_score() -> Column:
     c = F.col
-    tail = F.when(c("eig_condition_number") > 0, (F.log(c("eig_condition_number")) - 3.0) / 5.0).otherwise(0.0)
+    tail = (F.log1p(c("eig_condition_number")) - 3.0) / 5.0
     return clip(_sum(0.2 * clip(F.abs(c("eig_dominance") - 0.65) / 0.35), 0.3 * clip(1.0 - c("patch_ratio_std") / 10.0), 0.3 * clip(1.0 - c("band_high_ratio") / 0.3), 0.2 * clip(tail)))
 
 

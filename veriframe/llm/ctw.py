@@ -24,7 +24,6 @@ tasks; the words of a text that aren't among these are joined with their counts.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -137,88 +136,6 @@ def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1.0)
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each of the 255 binary decisions (places 1 to 255), from counts of the next byte."""
-    heap = np.zeros((len(counts), 512))
-    heap[:, 256:] = counts
-    for i in range(255, 0, -1):
-        heap[:, i] = heap[:, 2 * i] + heap[:, 2 * i + 1]
-    return heap[:, 0:512:2][:, :256], heap[:, 1:512:2][:, :256]
-
-
-@dataclass
-class Tree:
-    """``child[node, byte]`` is the node of the context one byte longer (0: none; the root is 0); ``log10[node, byte]`` the log-probability of the next byte where the context ends at the node."""
-
-    child: np.ndarray
-    log10: np.ndarray
-
-    def code(self, framed: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of the bytes at the places ``at``."""
-        node = np.zeros(len(at), np.int32)
-        going = np.ones(len(at), bool)
-        flat = self.child.reshape(-1)
-        for d in range(1, DEPTH + 1):
-            below = flat[node * np.int32(256) + framed[at - d]]
-            going &= below > 0
-            node = np.where(going, below, node)
-        return self.log10.reshape(-1)[node * np.int32(256) + framed[at]]
-
-
-def build_tree(contexts: list[dict[int, np.ndarray]]) -> Tree:
-    """``contexts[d]``: counts of the next byte in each context of d bytes that is a node.
-
-    A context's number has its latest byte in the lowest place.  Each context's
-    shorter forms must be nodes too.
-    """
-    places = {(d, c): 0 for d in range(1) for c in contexts[0]} or {(0, 0): 0}
-    for d in range(1, len(contexts)):
-        for c in sorted(contexts[d]):
-            places[d, c] = len(places)
-    n = len(places)
-    counts = np.zeros((n, 256))
-    depth, parent = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    child = np.zeros((n, 256), np.int32)
-    for (d, c), k in places.items():
-        counts[k] = contexts[d].get(c, 0) if contexts[d] else 0
-        depth[k] = d
-        if d:
-            parent[k] = places[d - 1, c & ((1 << 8 * (d - 1)) - 1)]
-            child[parent[k], c >> 8 * (d - 1)] = k
-    rest = counts.copy()
-    np.subtract.at(rest, parent[1:], counts[1:])
-    zeros, ones = decisions(counts)
-    rest_zeros, rest_ones = decisions(np.maximum(rest, 0))
-    estimate = kt_block(zeros, ones)
-    below = kt_block(rest_zeros, rest_ones)
-    weighted = estimate.copy()
-    stop = np.ones_like(estimate)
-    for d in range(len(contexts) - 1, -1, -1):
-        own = np.flatnonzero(depth == d)
-        if d < len(contexts) - 1:
-            weighted[own] = np.logaddexp(estimate[own], below[own]) - np.log(2)
-            stop[own] = np.exp(estimate[own] - np.log(2) - weighted[own])
-        if d:
-            np.add.at(below, parent[own], weighted[own])
-    p1 = (ones + 0.5) / (zeros + ones + 1)
-    rest1 = (rest_ones + 0.5) / (rest_zeros + rest_ones + 1)
-    left, mixed = np.ones_like(p1), np.zeros_like(p1)  # what isn't given out above a node; the mixture there
-    for d in range(1, len(contexts)):
-        own = np.flatnonzero(depth == d)
-        up = parent[own]
-        mixed[own] = mixed[up] + left[up] * stop[up] * p1[up]
-        left[own] = left[up] * (1 - stop[up])
-    p = mixed + left * (stop * p1 + (1 - stop) * rest1)
-    log0, log1 = np.log10(1 - p), np.log10(p)
-    log10 = np.zeros((n, 256))
-    byte = np.arange(256)
-    for level in range(8):
-        place = (1 << level) | (byte >> (8 - level))
-        bit = byte >> (7 - level) & 1
-        log10 += np.where(bit, log1[:, place], log0[:, place])
-    return Tree(child, log10.astype(np.float32))
-
-
 def _weigh(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Log of the weighted probability of nodes whose children's (as logs) add up to ``below``, and the estimate's share of it."""
     estimate = kt_block(zeros, ones)
@@ -370,8 +287,9 @@ def _vocabulary(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def language_model_scores(docs: DataFrame, vocabulary: int = VOCABULARY, grams: int = GRAMS) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row of ``docs``.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of each row of ``docs``.
 
+    ``bits_per_byte`` is the code length in bits over the bytes coded, the end byte among these.
     Rows whose crc32(doc_id) mod 7 is 2 are held out, as are rows with a null
     doc_id (their ``held_out`` is false).  A null text counts as empty, which has
     the end token and the end byte alone.  Without training texts all counts are
@@ -409,11 +327,11 @@ def language_model_scores(docs: DataFrame, vocabulary: int = VOCABULARY, grams:
             base = np.bincount(row, weights=gains[of], minlength=rows)
             rare = np.flatnonzero(~there[of])
             lists += _lists(row[rare], h[rare], rows)
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(code, pa.float64()), *lists], names=["row", "doc_id", "n_tokens", "known", "base", "score", "grams", "gram_times", "rare", "times"])
+            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(size + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(code, pa.float64()), pa.array(length), *lists], names=["row", "doc_id", "n_tokens", "known", "base", "score", "coded", "grams", "gram_times", "rare", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = cut(numbered.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, grams array<long>, gram_times array<long>, rare array<long>, times array<long>"), "scored")
+    parts = cut(numbered.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, coded long, grams array<long>, gram_times array<long>, rare array<long>, times array<long>"), "scored")
 
     def met(kind: int, keys: str, times: str) -> DataFrame:
         return parts.select("row", F.explode(F.arrays_zip(F.col(keys).alias("key"), F.col(times).alias("times"))).alias("w")).select("row", F.lit(kind).alias("kind"), "w.key", "w.times")
@@ -423,6 +341,7 @@ def language_model_scores(docs: DataFrame, vocabulary: int = VOCABULARY, grams:
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     gained = F.col("times") * F.col("value")
     counted = terms.groupBy("row").agg(of(WORD, F.col("times")).alias("more"), of(WORD, gained).alias("gain"), of(GRAM, gained).alias("code"))
+    score = F.col("score") + F.coalesce("code", F.lit(0.0))
     return parts.join(counted, "row", "left").select(
         "doc_id",
         F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)).alias("held_out"),
@@ -430,5 +349,6 @@ def language_model_scores(docs: DataFrame, vocabulary: int = VOCABULARY, grams:
         (F.col("known") + F.coalesce("more", F.lit(0)) + F.lit(1 if ends else 0)).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("gain", F.lit(0.0)) + F.lit(float(np.log10(ends + 1.0))) - F.col("n_tokens") * F.lit(bottom)).alias("base_score"),
-        (F.col("score") + F.coalesce("code", F.lit(0.0))).alias("score"),
+        score.alias("score"),
+        (score * F.lit(-float(np.log2(10))) / F.col("coded")).alias("bits_per_byte"),
     )

@@ -24,10 +24,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import text_blocks
 
+#: Bytes of texts or files that are worked on at once; a longer one is a block of its own.
+BLOCK = 1 << 21
 UNIT, PER_MCU, MAX_SIDE = 64, 6, 4095  # samples of a block; blocks of an MCU; MCUs that fit in 65,535 lines
 
 
@@ -637,31 +640,58 @@ def decode_media(df: DataFrame, key: str = "path", content: str = "content") ->
     return df.selectExpr(f"`{key}` AS key", f"`{content}` AS content").mapInArrow(_decode_column, f"key {kind}, height int, width int, rgb binary, error string")
 
 
-def _digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, body, offs in text_blocks(batches, limit=1 << 21):
-        size = np.diff(offs)
+def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, body, offs in text_blocks(batches, limit=BLOCK):
         payloads = []
         for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
             p = np.zeros(max(UNIT, -(-(b - a) // UNIT) * UNIT), np.uint8)
             p[: b - a] = body[a:b]
             payloads.append(p)
-        files = store_payload(payloads)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offs), pa.int64()), pa.array(store_payload(payloads), pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+
+def _described(files: list[bytes | None]) -> list[tuple]:
+    try:
         images, coef = read_coefficients(files)
-        rows = []
-        for image, data in zip(images, files, strict=True):
-            back = read_payload(image, coef).tobytes()
-            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), features(rgb(image, coef))))
-        cols = list(zip(*rows, strict=True))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        backs = [read_payload(i, coef).tobytes() for i in images]
+        return [(len(b), hashlib.sha256(b).hexdigest(), zlib.crc32(b[-UNIT:]), len(f), hashlib.sha256(f).hexdigest(), features(rgb(i, coef))) for i, b, f in zip(images, backs, files, strict=True)]
+    except (ValueError, IndexError, KeyError, TypeError, struct.error):
+        # one file can't be read: the others are
+        return [x for f in files for x in _described([f])] if len(files) > 1 else [(None,) * 6]
 
 
-def media_round_trip(docs: DataFrame) -> DataFrame:
-    """Each text kept in a progressive JPEG file, read back and described.
+def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("media")), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, side="right")))
+            part = batch.slice(at, to - at)
+            cols = list(zip(*_described(part.column("media").to_pylist()), strict=True))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            at = to
+
+
+def store_media(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_bytes, media``: each text as a media column, a progressive JPEG file.
 
     The text's UTF-8 bytes (null: none) with zeros up to a positive multiple of
-    64 are the payload.  Digests, sizes and features are of what is read back.
-    Equal texts have equal values; rows are independent of each other.
+    64 are the payload.  Equal texts have equal files.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_digest, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select("doc_id", "text").mapInArrow(_store, f"doc_id {kind}, n_bytes long, media binary")
+
+
+def describe_media(media: DataFrame) -> DataFrame:
+    """Digests, sizes and features of what the files of :func:`store_media` hold, by decoding them.  A null or broken file has nulls."""
+    kind = media.schema["doc_id"].dataType.simpleString()
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_describe, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def media_round_trip(docs: DataFrame) -> DataFrame:
+    """Each text kept in a progressive JPEG file, a column of which is read back and described.
+
+    Equal texts have equal values; rows are independent of each other.
+    """
+    return describe_media(store_media(docs))

@@ -15,10 +15,12 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import cut, text_blocks
 from .tokens import encoder
@@ -97,12 +99,12 @@ def token_pieces(docs: DataFrame, path: str, end: int = END_ID, capacity: int =
     return docs.select("doc_id", "text").mapInArrow(_pieces(path, end, capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _pack(capacity: int, again: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = pdf["length"].to_numpy()
+def _pack(capacity: int, again: bool, schema: pa.Schema):
+    def run(table: pa.Table) -> pa.Table:
+        lengths = table.column("length").to_numpy()
         bins = best_fit(lengths, capacity)
         if again:
-            old = pd.factorize(pdf["sequence_id"])[0]
+            old = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)[1]
             if bins.max() >= old.max():
                 bins = old
         bound = lower_bound(lengths, capacity)
@@ -112,47 +114,49 @@ def _pack(capacity: int, again: bool):
         left = np.zeros(made, bool)
         emptiest = np.argsort(fill, kind="stable")[: made - bound + OPEN]
         left[emptiest[fill[emptiest] < capacity]] = True
-        order = np.lexsort([pdf["piece"].to_numpy(), pdf["doc_id"].fillna(-1).to_numpy(), bins])
-        out = pdf.iloc[order].reset_index(drop=True)
-        b, x = bins[order], lengths[order]
+        order = pc.sort_indices(table.append_column("_bin", pa.array(bins)), [("_bin", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        b, x = bins[order.to_numpy()], lengths[order.to_numpy()]
         before = np.cumsum(x) - x
         first = np.searchsorted(b, np.arange(made))
-        out["sequence_id"] = (pdf["round"].iloc[0].astype(np.int64) << 56) | (pdf["part"].iloc[0] << 24) | b
-        out["offset"] = before - before[first][b]
-        out["open"] = left[b]
-        out["bins"], out["bound"] = made, bound
-        return out
+        n = len(b)
+        turn, part = (table.column(c)[0].as_py() for c in ("round", "part"))
+        new = {"sequence_id": (turn << 56) | (part << 24) | b, "offset": before - before[first][b], "open": left[b], "bins": np.full(n, made, np.int64), "bound": np.full(n, bound, np.int64)}
+        own = table.take(order)
+        return pa.table([pa.array(new[f.name], f.type) if f.name in new else own.column(f.name) for f in schema], schema=schema)
 
     return run
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The columns of ``pieces`` with ``sequence_id`` and ``offset``.
-
-    Each sequence holds at most ``capacity`` ids without gaps.  ``pieces`` needs
-    ``doc_id``, ``piece`` and ``length`` (1 to ``capacity``).  Equal rows are
-    packed each by itself; a null doc_id is packed like any other; no pieces
-    give an empty result.
+    """The columns of ``pieces`` with ``sequence_id``, ``offset``, ``bins`` and ``bound``.
+
+    Each sequence holds at most ``capacity`` ids without gaps.  ``bins`` and ``bound``
+    are the sequences of the partition in which this one was packed last, and the
+    fewest that any packing of that partition takes: where they are equal, the bound
+    certifies the partition.  ``pieces`` needs ``doc_id`` (of any type that has an
+    order), ``piece`` and ``length`` (1 to ``capacity``).  Equal rows are packed each by
+    itself; a null doc_id is packed like any other; no pieces give an empty result.
     """
     names = pieces.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    schema = f"{fields}, part long, round int, sequence_id long, offset long, open boolean, bins long, bound long"
+    extra = "part long, round int, sequence_id long, offset long, open boolean, bins long, bound long"
+    schema = T.StructType([*pieces.schema.fields, *T.StructType.fromDDL(extra).fields])
+    arrow = to_arrow_schema(schema)
     n = pieces.count()
     parts = max(1, -(-n // PART))
     # the row's place in the file, not its id, deals it out: equal rows spread
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))).withColumn("round", F.lit(0)).withColumn("sequence_id", F.lit(0).cast("long"))
-    now = cut(dealt.groupBy("part").applyInPandas(_pack(capacity, False), schema), "packed")
+    now = cut(dealt.groupBy("part").applyInArrow(_pack(capacity, False, arrow), schema), "packed")
     done = now.where("not open")
     turn = 0
     while parts > 1:
         turn += 1
         parts = -(-parts // MERGE)
         pool = now.where("open").withColumn("part", (F.col("part") / MERGE).cast("long")).withColumn("round", F.lit(turn)).drop("offset", "open", "bins", "bound")
-        now = cut(pool.groupBy("part").applyInPandas(_pack(capacity, True), schema), "packed")
+        now = cut(pool.groupBy("part").applyInArrow(_pack(capacity, True, arrow), schema), "packed")
         done = done.unionByName(now.where("not open"))
         if now.isEmpty():
             break
-    return done.unionByName(now.where("open")).select(*names, "sequence_id", "offset")
+    return done.unionByName(now.where("open")).select(*names, "sequence_id", "offset", "bins", "bound")
 
 
 def pack_documents(docs: DataFrame, path: str, end: int = END_ID, capacity: int = CAPACITY) -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import new_path, text_blocks
 from .tokens import encoder
@@ -36,7 +37,9 @@ def file_schema(length: int, kind: pa.DataType) -> pa.Schema:
     return pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
-INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+def index_schema(kind: pa.DataType) -> pa.Schema:
+    """Of the index file; ids keep their type."""
+    return pa.schema([("doc_id", kind), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class TokenFile:
@@ -83,7 +86,7 @@ class TokenFile:
             k += 1
 
 
-def _write(folder: str, tokenizer: str, end: int, length: int):
+def _write(folder: str, tokenizer: str, end: int, length: int, index_of: pa.Schema):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -103,12 +106,12 @@ def _write(folder: str, tokenizer: str, end: int, length: int):
             return pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (body, mask)], schema=schema)
 
         with store.open_output_stream(f"{root}/{name}.arrow") as data, store.open_output_stream(f"{root}/{name}.index.arrow") as index:
-            with pa.ipc.new_stream(data, schema) as out, pa.ipc.new_stream(index, INDEX) as where:
+            with pa.ipc.new_stream(data, schema) as out, pa.ipc.new_stream(index, index_of) as where:
                 held: list[np.ndarray] = []
                 waiting = 0
                 for part, _, _ in text_blocks(batches):
                     ids, counts = enc.encode(part.column("text").fill_null("").to_pylist())
-                    where.write_batch(pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n_tokens + np.cumsum(counts) - counts), pa.array(counts)], schema=INDEX))
+                    where.write_batch(pa.RecordBatch.from_arrays([part.column("doc_id").cast(index_of.field("doc_id").type), pa.array(n_tokens + np.cumsum(counts) - counts), pa.array(counts)], schema=index_of))
                     n_docs, n_tokens = n_docs + len(counts), n_tokens + len(ids)
                     held.append(ids.astype(dtype))
                     waiting += len(ids)
@@ -160,7 +163,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int = END_ID, length
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
-    rows = sorted(ordered.mapInArrow(_write(folder, tokenizer, end, length), MANIFEST).collect())
+    index = index_schema(to_arrow_type(docs.schema["doc_id"].dataType))
+    rows = sorted(ordered.mapInArrow(_write(folder, tokenizer, end, length, index), MANIFEST).collect())
     base, out = 0, []
     for r in rows:
         out.append((*r, base))
@@ -168,12 +172,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int = END_ID, length
     return spark.createDataFrame(out, f"{MANIFEST}, base long")
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files."""
+def read_token_files(manifest: DataFrame, kind: str = "long") -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files; ``kind`` is the type of the ids."""
     many = max(1, manifest.sparkSession.sparkContext.defaultParallelism)
-    return manifest.repartition(many, "shard").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(many, "shard").mapInArrow(_read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files_round_trip(docs: DataFrame, tokenizer: str, end: int = END_ID, length: int = LENGTH) -> DataFrame:
-    """Write all texts (null: empty, so the end id alone) and describe them from what is read back."""
-    return read_token_files(write_token_files(docs, tokenizer, end, length))
+    """Write all texts (null: empty, so the end id alone) and describe them from what is read back.  Ids of any type that has an order are kept as they are."""
+    return read_token_files(write_token_files(docs, tokenizer, end, length), docs.schema["doc_id"].dataType.simpleString())

@@ -20,13 +20,14 @@ from ..functions import schema as S
 from ..functions import scores
 from ..functions.exif import read_exif
 from ..functions.kernels import Raster, augmented, features, screen_inputs
+from ..storage import cut
 
 PIXEL_GROUPS = tuple(g for g in S.GROUPS if g != "metadata")
 #: Turned images whose orientations are sent along; beyond that they are joined.
 MAX_SENT = 200_000
 
 
-def pixels(data: bytes, height: int, width: int, channels: int, turn: int = 1) -> np.ndarray:
+def pixels(data: bytes | pa.Buffer, height: int, width: int, channels: int, turn: int = 1) -> np.ndarray:
     """Height x width x 3, blue first; gray is repeated, transparency left out, the EXIF orientation applied."""
     a = np.frombuffer(data, np.uint8).reshape(height, width, channels)
     a = np.repeat(a, 3, axis=2) if channels == 1 else a[:, :, :3]
@@ -41,15 +42,15 @@ def _kernel(groups: tuple[str, ...], keep: list[str], kinds: tuple[str, ...] | N
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, source = [], []
             for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in ("path", "data", "height", "width", "channels", "status", "turn")}
+                row = {n: batch.column(n)[k].as_py() for n in ("path", "height", "width", "channels", "status", "turn")}
                 path = row["path"] or ""
-                rows = []
                 for kind in kinds or ("orig",):
                     status, values, extra, size = row["status"], [None] * len(names), (None, None), (row["width"], row["height"])
                     if status == "ok":
                         try:
-                            bgr = pixels(row["data"], row["height"], row["width"], row["channels"], row["turn"] or 1)
+                            bgr = pixels(batch.column("data")[k].as_buffer(), row["height"], row["width"], row["channels"], row["turn"] or 1)
                             suffix = path.lower().rsplit(".", 1)[-1]
                             r = Raster(augmented(bgr, kind), suffix == "png" and kind == "orig", suffix in ("jpg", "jpeg", "webp") or kind != "orig")
                             found = features(r, groups, zlib.crc32(path.encode()))
@@ -57,22 +58,23 @@ def _kernel(groups: tuple[str, ...], keep: list[str], kinds: tuple[str, ...] | N
                         except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
                             status = f"failed: {e}"
                     rows.append((kind, status, *map(lambda x: None if x is None else int(x), size), *values, *extra))
-                cols = list(zip(*rows, strict=True))
-                fixed = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())]
-                own = batch.slice(k, 1).take(pa.array([0] * len(rows)))
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), *fixed, *(pa.array(c, pa.float64()) for c in cols[4:])], names=[*keep, "kind", "status", "width", "height", *names, *S.SCREEN])
+                    source.append(k)
+            cols = list(zip(*rows, strict=True)) or [()] * (4 + len(names) + len(S.SCREEN))
+            fixed = [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())]
+            own = batch.select(keep).take(pa.array(source, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *fixed, *(pa.array(c, pa.float64()) for c in cols[4:])], names=[*keep, "kind", "status", "width", "height", *names, *S.SCREEN])
 
     return run, names
 
 
 def tags(files: DataFrame) -> DataFrame:
-    """``path, tags, gps, turn``: EXIF tags, GPS tags and orientation of ``binaryFile`` rows."""
+    """``path, tags, gps, turn``: EXIF tags, GPS tags and orientation of ``binaryFile`` rows, which are read once."""
 
     @F.pandas_udf("tags map<string,string>, gps map<string,string>, turn int")
     def parse(content: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([read_exif(c) for c in content], columns=["tags", "gps", "turn"])
 
-    return files.select("path", parse("content").alias("e")).select("path", "e.tags", "e.gps", "e.turn")
+    return cut(files.select("path", parse("content").alias("e")).select("path", "e.tags", "e.gps", "e.turn"), "exif")
 
 
 def extract(images: DataFrame, exif: DataFrame | None = None, groups: tuple[str, ...] = tuple(S.GROUPS), augment: bool = False) -> DataFrame:

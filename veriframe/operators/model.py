@@ -1,26 +1,36 @@
 """Scaler, RBF support-vector machine, calibration; training, prediction, evaluation, storage.
 
-Training sets of up to ``EXACT_ROWS`` rows are solved exactly by sequential
-minimal optimisation (one kernel matrix, in one place).  Larger ones are mapped
-to random Fourier features (Rahimi and Recht, 2007), on which MLlib's linear
-machine trains distributed.  Prediction is a column function either way: the
-model's size is bounded by ``EXACT_ROWS`` or by the number of Fourier features.
+The machine is solved exactly by sequential minimal optimisation on a bounded sample
+of the rows (``SAMPLE``; all rows of a smaller table).  Scaler, accuracy in all folds
+and training accuracy come from all rows.  :func:`train_fourier` is another
+trainer, which one asks for by name: random Fourier features (Rahimi and Recht,
+2007) and a linear machine on all rows, fit distributed by Newton steps
+(Chapelle, 2007).  Prediction is a column function either way: the model's size is
+bounded by ``SAMPLE`` or by the number of Fourier features.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
-from ..functions import scores
+from ..functions import scores, sums
 from ..operators import evaluate as E
+from ..operators import prep
+from ..storage import cut
 
-EXACT_ROWS, COST, FOURIER = 5_000, 10.0, 512
+COST = 10.0
+#: Rows that the exact machine is fit on, about; rows whose held-out margins shape the calibration of the other one, about.
+SAMPLE, CALIBRATION = 5_000, 100_000
+#: Fourier features, and Newton steps at most.
+FOURIER, STEPS = 512, 12
 
 
 def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
@@ -132,97 +142,162 @@ class Training:
         return float(np.std(self.cv_scores)) if self.cv_scores else 0.0
 
 
-def _folds(y: np.ndarray, k: int, groups: np.ndarray | None) -> np.ndarray:
-    if groups is not None:
-        _, g = np.unique(groups, return_inverse=True)
-        return g % k
-    out = np.zeros(len(y), np.int64)
-    for s in np.unique(y):
-        own = np.flatnonzero(y == s)
-        out[own] = np.arange(len(own)) * k // max(1, len(own))
-    return out
-
-
 def _fit_exact(x: np.ndarray, y: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray, float]:
     w, b = solve(rbf(x, x, gamma), y)
     used = np.abs(w) > 1e-9
     return x[used], w[used], b
 
 
-def train(df: DataFrame, columns: tuple[str, ...] = S.FEATURES, label: str = "label", group: str | None = None, exact_rows: int = EXACT_ROWS) -> Training:
-    """Fit scaler, machine and calibration on labelled feature rows; rows with a missing value or label are left out.
+@dataclass
+class _Rows:
+    """Training rows in the shared folder (``_id``, ``_fold``, ``_pick`` besides), their number by class, folds, mean and deviation of each column."""
 
-    With ``group`` folds keep all copies of a source image together.  ValueError
-    unless both classes occur.
-    """
-    rows = df.select(*columns, label, *([group] if group else [])).dropna()
+    df: DataFrame
+    sizes: dict[int, int]
+    folds: int
+    mean: np.ndarray
+    scale: np.ndarray
+
+
+def _prepared(df: DataFrame, columns: tuple[str, ...], label: str, group: str | None, sample: int) -> _Rows:
+    rows = df.select(*columns, label, *([group] if group and group not in columns else [])).dropna().withColumn("_id", F.monotonically_increasing_id())
+    rows = cut(rows, "training")
     sizes = {int(r[label]): int(r["n"]) for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
     if set(sizes) != {0, 1}:
         raise ValueError(f"training needs rows of both classes, found {sizes}")
     n = sum(sizes.values())
-    if n > exact_rows:
-        return _train_fourier(rows, columns, label, sizes)
-    pdf = rows.toPandas().sort_values([label, *([group] if group else []), *columns])
-    raw, y = pdf[list(columns)].to_numpy(float), np.where(pdf[label].to_numpy() == 1, 1.0, -1.0)
-    mean, scale = raw.mean(0), raw.std(0)
+    k = max(1, min(5, n // 4))
+    if group:
+        rows = rows.withColumn("_fold", F.pmod(F.xxhash64(group), F.lit(k)))
+    else:
+        rows = prep.stratified_folds(rows, label, "_id", k).withColumnRenamed("fold", "_fold")
+    share = min(1.0, sample / n)
+    rows = cut(rows.withColumn("_pick", F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 40)) < int(share * (1 << 40))), "folded")
+    stats = rows.agg(*(F.avg(c) for c in columns), *(F.stddev_pop(c) for c in columns)).first()
+    mean, scale = np.array(stats[: len(columns)], float), np.array(stats[len(columns) :], float)
     scale[scale == 0] = 1.0
-    x = (raw - mean) / scale
-    gamma = 1.0 / (x.shape[1] * max(float(x.var()), 1e-12))
-    k = min(5, n // 4)
-    held = np.zeros(n)
-    cv: list[float] = []
-    if k >= 2:
-        fold = _folds(y, k, pdf[group].to_numpy() if group else None)
-        done = np.zeros(n, bool)
-        for f in range(k):
-            inside, out = fold != f, fold == f
-            if not out.any() or len(set(y[inside])) < 2:
-                continue
-            v, w, b = _fit_exact(x[inside], y[inside], gamma)
-            held[out] = rbf(x[out], v, gamma) @ w + b
-            done[out] = True
-            cv.append(float((np.sign(held[out]) == y[out]).mean()))
+    return _Rows(rows, sizes, k, mean, scale)
+
+
+def _judged(rows: _Rows, columns: tuple[str, ...], label: str, model: Model, folds: list[Model | None]) -> Training:
+    """Accuracy over all rows, held-out margins from the models of their folds; calibrates ``model`` on those of the picked rows."""
+    sent = rows.df.sparkSession.sparkContext.broadcast((model, folds))
+
+    @F.pandas_udf("own double, held double")
+    def margins(x: pd.DataFrame, fold: pd.Series) -> pd.DataFrame:
+        model, folds = sent.value
+        values, held = x.to_numpy(float), np.full(len(x), np.nan)
+        for f, m in enumerate(folds):
+            inside = (fold == f).to_numpy()
+            if m is not None and inside.any():
+                held[inside] = m.margins(values[inside])
+        return pd.DataFrame({"own": model.margins(values), "held": held})
+
+    y = F.when(F.col(label) == 1, 1.0).otherwise(-1.0)
+    judged = cut(rows.df.select("_id", "_fold", "_pick", y.alias("y"), margins(F.struct(*columns), "_fold").alias("m")).select("_id", "_fold", "_pick", "y", "m.own", F.when(~F.isnan("m.held"), F.col("m.held")).alias("held")), "judged")
+    right = lambda c: F.sum((F.signum(c) == F.col("y")).cast("long"))
+    per = judged.groupBy("_fold").agg(F.count("*").alias("n"), F.count("held").alias("m"), right("own").alias("own"), right("held").alias("held")).orderBy("_fold").collect()
+    cv = [r.held / r.m for r in per if r.m]
+    pooled = sum(r.held or 0 for r in per) / max(1, sum(r.m for r in per))
+    basis = judged.where("_pick").orderBy("_id").toPandas()
+    done = basis["held"].notna().to_numpy()
+    if done.any() and len(set(basis["y"][done])) == 2:
+        model.slope, model.shift = platt(basis["held"][done].to_numpy(), basis["y"][done].to_numpy())
     else:
-        done = np.zeros(n, bool)
-    v, w, b = _fit_exact(x, y, gamma)
-    model = Model(tuple(columns), mean, scale, w, b, gamma, vectors=v)
-    own = model.margins(raw)
-    basis = done if done.any() and len(set(y[done])) == 2 else np.ones(n, bool)
-    model.slope, model.shift = platt(np.where(done, held, own)[basis], y[basis])
-    pooled = float((np.sign(held[done]) == y[done]).mean()) if done.any() else 0.0
-    return Training(model, cv, pooled, float((np.sign(own) == y).mean()), sizes)
+        model.slope, model.shift = platt(basis["own"].to_numpy(), basis["y"].to_numpy())
+    return Training(model, cv, pooled, sum(r.own for r in per) / sum(r.n for r in per), rows.sizes)
 
 
-def _train_fourier(rows: DataFrame, columns: tuple[str, ...], label: str, sizes: dict[int, int]) -> Training:
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import array_to_vector
+def train(df: DataFrame, columns: tuple[str, ...] = S.FEATURES, label: str = "label", group: str | None = None, sample: int = SAMPLE) -> Training:
+    """Fit scaler, machine and calibration on labelled feature rows; rows with a missing value or label are left out.
 
-    stats = rows.agg(*(F.avg(c) for c in columns), *(F.stddev_pop(c) for c in columns)).first()
-    d = len(columns)
-    mean, scale = np.array(stats[:d], float), np.array(stats[d:], float)
-    scale[scale == 0] = 1.0
-    gamma = 1.0 / d
-    rng = np.random.default_rng(5)
-    omega, phase = rng.normal(0, np.sqrt(2 * gamma), (d, FOURIER)), rng.uniform(0, 2 * np.pi, FOURIER)
-
-    @F.pandas_udf("array<double>")
-    def mapped(x: pd.DataFrame) -> pd.Series:
-        return pd.Series(list(fourier((x.to_numpy(float) - mean) / scale, omega, phase)))
-
-    mixed = rows.withColumn("_f", array_to_vector(mapped(F.struct(*columns)))).withColumn("_h", F.pmod(F.xxhash64(*columns), F.lit(5)))
-    data = VectorAssembler(inputCols=["_f"], outputCol="features").transform(mixed).select("features", F.col(label).cast("double").alias("label"), "_h")
-    machine = LinearSVC(regParam=1.0 / (COST * sum(sizes.values())), maxIter=50)
-    fitted = machine.fit(data)
-    held = machine.fit(data.where("_h <> 0"))
-    as_array = F.udf(lambda v: float(v[1]), "double")
-    margins = held.transform(data.where("_h = 0")).select(as_array("rawPrediction").alias("m"), "label").limit(100_000).toPandas()
-    y = np.where(margins["label"] == 1, 1.0, -1.0)
-    model = Model(tuple(columns), mean, scale, fitted.coefficients.toArray(), float(fitted.intercept), gamma, omega=omega, phase=phase)
-    model.slope, model.shift = platt(margins["m"].to_numpy(), y)
-    fold = float((np.sign(margins["m"]) == y).mean())
-    own = fitted.transform(data).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-    return Training(model, [fold], fold, float(own), sizes)
+    The machines of the folds and the last one are fit to about ``sample`` rows,
+    drawn by a hash; every row counts for the scaler and is judged by the machine
+    of its fold.  With ``group`` folds keep all copies of a source image together.
+    ValueError unless both classes occur.
+    """
+    rows = _prepared(df, columns, label, group, sample)
+    pdf = rows.df.where("_pick").orderBy("_id").toPandas()
+    y = np.where(pdf[label].to_numpy() == 1, 1.0, -1.0)
+    if len(set(y)) < 2:
+        raise ValueError(f"a sample of {sample} rows has one class only")
+    x = (pdf[list(columns)].to_numpy(float) - rows.mean) / rows.scale
+    gamma = 1.0 / (x.shape[1] * max(float(x.var()), 1e-12))
+
+    def fitted(inside: np.ndarray) -> Model | None:
+        if len(set(y[inside])) < 2:
+            return None
+        v, w, b = _fit_exact(x[inside], y[inside], gamma)
+        return Model(tuple(columns), rows.mean, rows.scale, w, b, gamma, vectors=v)
+
+    folds = [fitted(pdf["_fold"].to_numpy() != f) for f in range(rows.folds)] if rows.folds > 1 else [None]
+    return _judged(rows, columns, label, fitted(np.ones(len(y), bool)), folds)
+
+
+def _newton_sums(columns: tuple[str, ...], label: str, mean: np.ndarray, scale: np.ndarray, omega: np.ndarray, phase: np.ndarray, sent):
+    """A pass over the rows: for each machine the loss, and products of the rows that are on the wrong side of its margin."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = sent.value
+        d = len(phase) + 1
+        total = np.zeros((len(weights), d * d + d + 2))
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns], 1)
+            z = np.hstack([fourier((x - mean) / scale, omega, phase), np.ones((len(x), 1))])
+            y = np.where(batch.column(label).to_numpy(zero_copy_only=False) == 1, 1.0, -1.0)
+            fold = batch.column("_fold").to_numpy(zero_copy_only=False)
+            for k, w in enumerate(weights):
+                short = 1 - y * (z @ w)
+                at = np.flatnonzero((short > 0) & (fold != k))
+                own = z[at]
+                total[k, : d * d] += (own.T @ own).ravel()
+                total[k, d * d : -2] += own.T @ y[at]
+                total[k, -2:] += len(at), (short[at] ** 2).sum()
+        for k in range(len(weights)):
+            yield from sums.rows(f"{k}", total[k], sums.task_number())
+
+    return run
+
+
+def train_fourier(df: DataFrame, columns: tuple[str, ...] = S.FEATURES, label: str = "label", group: str | None = None, size: int = FOURIER, seed: int = 5) -> Training:
+    """As :func:`train`, with a linear machine (squared hinge loss) over ``size`` random Fourier features, fit to all rows.
+
+    Each Newton step is one pass over the rows for all folds at once, of which the
+    driver gets the summed products of features.  Calibration takes about
+    ``CALIBRATION`` rows, drawn by a hash.
+    """
+    rows = _prepared(df, columns, label, group, CALIBRATION)
+    gamma = 1.0 / len(columns)
+    rng = np.random.default_rng(seed)
+    omega, phase = rng.normal(0, np.sqrt(2 * gamma), (len(columns), size)), rng.uniform(0, 2 * np.pi, size)
+    d = size + 1
+    many = rows.folds + 1 if rows.folds > 1 else 1  # the last one takes all rows: no row has its number as fold
+    ridge = np.append(np.full(size, 1 / (2 * COST)), 1e-9)
+    weights, step, best = np.zeros((many, d)), np.zeros((many, d)), np.full(many, np.inf)
+    support = np.full(many, -1.0)
+    needed = rows.df.select(*columns, label, (F.col("_fold") if many > 1 else F.lit(-1)).cast("int").alias("_fold"))
+    for _ in range(STEPS):
+        sent = df.sparkSession.sparkContext.broadcast(weights)
+        found = sums.collect(needed.mapInArrow(_newton_sums(columns, label, rows.mean, rows.scale, omega, phase, sent), sums.SCHEMA), {f"{k}": d * d + d + 2 for k in range(many)}, "<f8")
+        moved = False
+        for k in range(many):
+            total = found[f"{k}"]
+            loss = float(ridge @ weights[k] ** 2 + total[-1])
+            if loss > best[k] + 1e-9:  # too far: half the way back
+                step[k] /= 2
+                weights[k] -= step[k]
+                moved = True
+                continue
+            if best[k] - loss < 1e-6 * max(1.0, loss) and total[-2] == support[k]:
+                continue
+            best[k], support[k], moved = loss, total[-2], True
+            new = np.linalg.solve(total[: d * d].reshape(d, d) + np.diag(ridge), total[d * d : -2])
+            step[k] = new - weights[k]
+            weights[k] = new
+        if not moved:
+            break
+    made = [Model(tuple(columns), rows.mean, rows.scale, w[:-1], float(w[-1]), gamma, omega=omega, phase=phase) for w in weights]
+    return _judged(rows, columns, label, made[-1], made[:-1] or [None])
 
 
 def with_svm(df: DataFrame, model: Model) -> DataFrame:

@@ -5,6 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.images import extension
+from ..storage import cut
+
+#: Suffixes of the files that are taken in.
+INGESTED = ("png", "jpg", "jpeg", "webp")
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``: the row's place (from 0) in ``order`` among those with equal ``by``.
+
+    Rows are dealt by ranges, each is ranked by itself, and the rows of the ranges
+    before are added: no task has a whole class.
+    """
+    dealt = cut(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    per = dealt.groupBy("_range", *by).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range and class
+    lead = per.select(F.col("_range").alias("_r"), *(F.col(b).alias(f"_by{k}") for k, b in enumerate(by)), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range", *by).orderBy(*order)) - 1)
+    same = F.col("_range") == F.col("_r")
+    for k, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_by{k}"))
+    return own.join(lead, same).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
 
 def source_label(name: Column, fallback: str = "misc") -> Column:
     """The generator that a file's name tells: kling, gemini or banana (images), else ``fallback`` (``video`` for videos)."""
@@ -14,11 +37,10 @@ def source_label(name: Column, fallback: str = "misc") -> Column:
 
 
 def ingest_names(files: DataFrame, name: str = "name", by_source: bool = False) -> DataFrame:
-    """``files`` with ``source`` and ``target``: ``ai_{source}_img_{NNN}{suffix}``, numbered by name over all files (``by_source``: within the source).  Numbers from 1000 on are written whole."""
-    order = (Window.partitionBy("source") if by_source else Window.partitionBy(F.lit(0))).orderBy(name)
-    numbered = files.withColumn("source", source_label(F.col(name))).withColumn("_n", F.row_number().over(order))
-    suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
-    return numbered.withColumn("target", F.concat(F.lit("ai_"), "source", F.lit("_img_"), F.format_string("%03d", "_n"), suffix)).drop("_n")
+    """The image files with ``source`` and ``target``: ``ai_{source}_img_{NNN}{suffix}``, numbered from 1 by name over all of them (``by_source``: within the source).  Numbers from 1000 on are written whole; the suffix stays as it is."""
+    images = files.where(extension(name).isin(*INGESTED)).withColumn("source", source_label(F.col(name)))
+    suffix = F.regexp_extract(name, r"(\.[^.]+)$", 1)
+    return ranked(images, ["source"] if by_source else [], [name], "_n").withColumn("target", F.concat(F.lit("ai_"), "source", F.lit("_img_"), F.format_string("%03d", F.col("_n") + 1), suffix)).drop("_n")
 
 
 def frame_sample(frames: DataFrame, video: str, index: str, count: str | None = None, wanted: int = 30, unknown: int = 1000) -> DataFrame:
@@ -34,32 +56,42 @@ def frame_sample(frames: DataFrame, video: str, index: str, count: str | None =
 
 
 def mixed(key: Column, seed: int = 42) -> Column:
-    """A scrambling of a whole number that any SQL engine can repeat."""
-    return F.pmod(F.pmod(key, F.lit(1_000_003)) * F.lit(48_271) + F.lit(seed * 11), F.lit(2_147_483_647))
+    """A scrambling of a whole number from 0 to 2**50 that any SQL engine can repeat."""
+    high, low = F.floor(key / 1_000_003), F.pmod(key, F.lit(1_000_003))
+    return F.pmod(low * F.lit(48_271) + high * F.lit(69_621) + F.lit(seed * 11), F.lit(2_147_483_647))
 
 
-def holdout(df: DataFrame, label: str, key: str, n: int = 10, fewer: float = 0.2, least: int = 1, seed: int = 42) -> DataFrame:
-    """``df`` with ``is_test``: ``n`` of each class, or a fifth of a class that has no more than ``n``; none of a class under ``least``.
+def holdout(df: DataFrame, label: str, key: str, n: int = 10, least: int = 0, seed: int = 42) -> DataFrame:
+    """``df`` with ``is_test``: ``n`` of each class, or a fifth of a class that has fewer than ``n``; none of a class under ``least``.
 
     Which rows these are follows from key and seed.  Counts of a class come
-    from one aggregate; only rows under the class's cut are ranked.
+    from one aggregate; each task ranks its own rows and passes on ``n`` of a class at most.
     """
-    sizes = df.groupBy(label).agg(F.count("*").alias("_size"))
-    joined = df.join(F.broadcast(sizes), df[label].eqNullSafe(sizes[label]), "left").drop(sizes[label])
-    take = F.when(F.col("_size") < least, 0).when(F.col("_size") > n, n).otherwise(F.floor(F.col("_size") * fewer))
-    # far fewer rows than a class has are needed: only those in the first part of the range are ranked
-    part = F.least(F.lit(1.0), (F.lit(20.0) * n + 200) / F.col("_size"))
-    ranked = joined.withColumn("_mix", mixed(F.col(key), seed))
-    near = ranked.where(F.col("_mix") < part * 2_147_483_647).withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy("_mix", key)))
-    chosen = near.where(F.col("_rank") <= take).select(F.col(key).alias("_key"), F.lit(True).alias("_test"))
-    return ranked.join(chosen, F.col(key) == F.col("_key"), "left").withColumn("is_test", F.coalesce("_test", F.lit(False))).drop("_size", "_mix", "_key", "_test")
+    sizes = df.groupBy(label).agg(F.count("*").alias("_size")).withColumnRenamed(label, "_label")
+    mixed_key = df.select(F.col(label).alias("_of"), F.col(key).alias("_key"), mixed(F.col(key), seed).alias("_mix"))
+    first = mixed_key.withColumn("_rank", F.row_number().over(Window.partitionBy("_of").orderBy("_mix", "_key"))).where(F.col("_rank") <= n)
+    take = F.when(F.col("_size") < least, 0).when(F.col("_size") < n, F.floor(F.col("_size") / 5)).otherwise(n)
+    chosen = first.join(sizes, F.col("_of").eqNullSafe(F.col("_label"))).where(F.col("_rank") <= take).select("_key", F.lit(True).alias("_test"))
+    return df.join(chosen, F.col(key) == F.col("_key"), "left").select(*df.columns, F.coalesce("_test", F.lit(False)).alias("is_test"))
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int | None = None) -> DataFrame:
-    """``df`` with ``fold`` 0 to k - 1, in turn over the rows of a class by key; k is 5, or a quarter of the rows if that is less (2 at least)."""
+    """``df`` with ``fold`` 0 to k - 1: each class is cut by key into k runs; k is 5, or a quarter of the rows if that is less (2 at least).
+
+    A run is as long as the rows of the class are among every k-th row of all,
+    sorted by class, so that the folds differ by one row at most.
+    """
     if k is None:
         k = max(2, min(5, df.count() // 4))
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1) % k)
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)  # a row a class
+    start = sizes.select(F.col(label).alias("_label"), "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    joined = ranked(df, [label], [key], "_rank").join(start, F.col(label).eqNullSafe(F.col("_label")))
+    fold, end = F.lit(0), F.lit(0)
+    for i in range(k - 1):
+        end = end + F.floor((F.col("_start") + F.col("_n") - 1 - i) / k) - F.floor((F.col("_start") - 1 - i) / k)
+        fold = fold + (F.col("_rank") >= end).cast("int")
+    return joined.select(*df.columns, fold.alias("fold"))
 
 
 def grouped_folds(df: DataFrame, group: Column, k: int = 5) -> DataFrame:

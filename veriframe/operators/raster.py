@@ -270,57 +270,65 @@ def histogram_entropy(plots: DataFrame) -> DataFrame:
     return g.select("img_id", F.when(F.col("n") > 0, F.log2(F.col("n").cast("double")) - F.col("w") / F.col("n")).otherwise(0.0).alias("entropy"), "n")
 
 
+def _spread(a: Column) -> Column:
+    """Size, mean and variance of an array; zeros if it is empty or null."""
+    some = lambda x: F.when(F.size(x) > 0, F.struct(F.size(x).alias("n"), mean(x).alias("mean"), variance(x).alias("variance")))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("variance"))
+    return F.coalesce(let(a, some), none)
+
+
 def boundary_features(plots: DataFrame, width: int = 32) -> DataFrame:
-    """``img_id`` with the two ratios of steps across block boundaries, of rasters of whole rows."""
-    a = F.col("a")
-    at = lambda i: F.element_at(a, (i + 1).cast("int")).cast("double")
-    rows = F.floor(F.size(a) / width)
-
-    def steps(i: Column) -> Column:
-        y, x = F.floor(i / width), i % width
-        right = F.when(x < width - 1, F.abs(at(i + 1) - at(i)))
-        below = F.when(y < rows - 1, F.abs(at(i + width) - at(i)))
-        return F.struct((x % 8 == 7).alias("ex"), (y % 8 == 7).alias("ey"), right.alias("dx"), below.alias("dy"))
-
-    cells = F.when(rows >= 1, F.transform(F.sequence(F.lit(0), (rows * width - 1).cast("int")), steps))
-    d = plots.select("img_id", F.explode_outer(cells).alias("s")).select("img_id", "s.*")
-    part = lambda f, c, e, want: F.coalesce(f(F.when(F.col(e) == F.lit(want), F.col(c))), F.lit(0.0))
-    g = d.groupBy("img_id").agg(
-        part(F.avg, "dx", "ex", True).alias("hb"), part(F.avg, "dx", "ex", False).alias("hi"), part(F.avg, "dy", "ey", True).alias("vb"), part(F.avg, "dy", "ey", False).alias("vi"),
-        part(F.var_pop, "dx", "ex", True).alias("vb2"), part(F.var_pop, "dx", "ex", False).alias("vi2"), F.count(F.when(F.col("ex"), F.col("dx"))).alias("nb"), F.count(F.when(~F.col("ex"), F.col("dx"))).alias("ni"),
+    """``img_id`` with the two ratios of steps across block boundaries, of rasters of whole rows; all within a row."""
+    whole = (F.floor(F.size("a") / width) * width).cast("int")
+    a = F.when(whole > 0, F.transform(F.slice("a", F.lit(1), whole), lambda v: v.cast("double")))
+
+    def steps(x: Column, far: int) -> Column:
+        left = F.greatest(F.size(x) - far, F.lit(0))
+        return F.zip_with(F.slice(x, F.lit(1), left), F.slice(x, F.lit(1 + far), left), lambda p, q: F.abs(q - p))
+
+    d = plots.select("img_id", a.alias("a")).select("img_id", steps(F.col("a"), 1).alias("dx"), steps(F.col("a"), width).alias("dy"))
+    part = lambda c, cond: _spread(F.filter(c, cond))
+    g = d.select(
+        "img_id",
+        part("dx", lambda v, i: (i % 8 == 7) & (i % width != width - 1)).alias("hb"), part("dx", lambda v, i: i % 8 != 7).alias("hi"),
+        part("dy", lambda v, i: F.floor(i / width) % 8 == 7).alias("vb"), part("dy", lambda v, i: F.floor(i / width) % 8 != 7).alias("vi"),
     )
-    at_edge, within = (F.col("hb") + F.col("vb")) / 2, (F.col("hi") + F.col("vi")) / 2
+    at_edge, within = (F.col("hb.mean") + F.col("vb.mean")) / 2, (F.col("hi.mean") + F.col("vi.mean")) / 2
     clip = lambda c, top: F.least(F.lit(top), F.greatest(F.lit(0.0), c))
-    flat = (F.col("nb") < 2) | (F.col("ni") < 2) | (F.col("vi2") < 1e-10)
-    return g.select("img_id", F.when(within < 1e-10, 1.0).otherwise(clip(at_edge / within, 5.0)).alias("dct_boundary_ratio"), F.when(flat, 1.0).otherwise(clip(F.col("vb2") / F.col("vi2"), 10.0)).alias("dct_boundary_var_ratio"))
+    flat = (F.col("hb.n") < 2) | (F.col("hi.n") < 2) | (F.col("hi.variance") < 1e-10)
+    return g.select("img_id", F.when(within < 1e-10, 1.0).otherwise(clip(at_edge / within, 5.0)).alias("dct_boundary_ratio"), F.when(flat, 1.0).otherwise(clip(F.col("hb.variance") / F.col("hi.variance"), 10.0)).alias("dct_boundary_var_ratio"))
 
 
 def block_variances(plots: DataFrame, width: int = 32, size: int = 8) -> DataFrame:
-    """``img_id, block, variance`` of the whole blocks; each block is summed up within its row of ``plots``."""
+    """``img_id, variances`` of the whole blocks, in order, of images that have any; all within a row."""
     a = F.col("a")
     across = width // size
     blocks = F.floor(F.floor(F.size(a) / width) / size) * across
 
     def cells(b: Column) -> Column:
         top = F.floor(b / across) * size * width + (b % across) * size
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda y: F.slice(a, (top + y * width + 1).cast("int"), size)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda y: F.transform(F.slice(a, (top + y * width + 1).cast("int"), size), lambda v: v.cast("double"))))
 
-    per = F.when(blocks >= 1, F.transform(F.sequence(F.lit(0), (blocks - 1).cast("int")), lambda b: F.struct(b.alias("block"), F.transform(cells(b), lambda v: v.cast("double")).alias("c"))))
-    d = plots.select("img_id", F.explode(per).alias("b")).select("img_id", "b.block", "b.c")
     # equal blocks are equal, however their sums were ordered: the median splits at ties
-    return d.select("img_id", "block", F.round(variance(F.col("c")), 9).alias("variance"))
+    per = F.transform(F.sequence(F.lit(0), (blocks - 1).cast("int")), lambda b: F.round(variance(cells(b)), 9))
+    return plots.where(blocks >= 1).select("img_id", per.alias("variances"))
 
 
-def block_variance_spread(variances: DataFrame) -> DataFrame:
-    return variances.groupBy("img_id").agg(F.when(F.count("*") >= 2, F.stddev_pop("variance")).otherwise(0.0).alias("noise_block_var_std"))
+def block_variance_spread(blocks: DataFrame) -> DataFrame:
+    return blocks.select("img_id", F.when(F.size("variances") >= 2, F.sqrt(variance(F.col("variances")))).otherwise(0.0).alias("noise_block_var_std"))
 
 
-def texture_split(variances: DataFrame, least: int = 4) -> DataFrame:
+def texture_split(blocks: DataFrame, least: int = 4) -> DataFrame:
     """``img_id`` with mean variance of rich (median or more) and poor blocks, and their difference; under ``least`` blocks zeros."""
-    middle = variances.groupBy("img_id").agg(F.median("variance").alias("m"), F.count("*").alias("n"))
-    g = variances.join(middle, "img_id").groupBy("img_id").agg(F.first("n").alias("n"), F.avg(F.when(F.col("variance") >= F.col("m"), F.col("variance"))).alias("rich"), F.avg(F.when(F.col("variance") < F.col("m"), F.col("variance"))).alias("poor"))
-    value = lambda c: F.when(F.col("n") >= least, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
-    return g.select("img_id", value(F.col("rich") - F.coalesce("poor", F.lit(0.0))).alias("texture_contrast"), value(F.col("rich")).alias("texture_rich_mean"), value(F.col("poor")).alias("texture_poor_mean"))
+    def split(v: Column) -> Column:
+        at = lambda k: F.element_at(v, k.cast("int"))
+        middle = (at(F.floor((F.size(v) + 1) / 2)) + at(F.floor(F.size(v) / 2) + 1)) / 2
+        both = lambda m: F.struct(mean(F.filter(v, lambda x: x >= m)).alias("rich"), _spread(F.filter(v, lambda x: x < m))["mean"].alias("poor"))
+        return let(middle, both)
+
+    g = blocks.select("img_id", F.size("variances").alias("n"), let(F.array_sort("variances"), split).alias("s"))
+    value = lambda c: F.when(F.col("n") >= least, c).otherwise(0.0)
+    return g.select("img_id", value(F.col("s.rich") - F.col("s.poor")).alias("texture_contrast"), value(F.col("s.rich")).alias("texture_rich_mean"), value(F.col("s.poor")).alias("texture_poor_mean"))
 
 
 def channel_eigen(plots: DataFrame) -> DataFrame:
@@ -330,13 +338,13 @@ def channel_eigen(plots: DataFrame) -> DataFrame:
     have a closed form; they are rounded to 4 places, as the ratios of tiny ones
     would only show how sums were ordered.
     """
-    a = F.col("a")
-    n = F.floor(F.size(a) / 3)
-    at = lambda i: F.element_at(a, i.cast("int")).cast("double")
-    px = F.when(n >= 1, F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.struct(at(3 * i + 1).alias("r"), at(3 * i + 2).alias("g"), at(3 * i + 3).alias("b"))))
-    d = plots.select("img_id", F.explode_outer(px).alias("p")).select("img_id", "p.*")
+    n = F.floor(F.size("a") / 3)
+    channel = lambda k: centred(F.transform(F.filter("a", lambda v, i: i % 3 == k), lambda v: v.cast("double")))
+    whole = plots.select("img_id", n.alias("n"), F.slice("a", F.lit(1), (3 * n).cast("int")).alias("a"))
+    d = whole.select("img_id", "n", *(channel(k).alias(x) for k, x in enumerate("rgb")))
     pairs = ("rr", "gg", "bb", "rg", "rb", "gb")
-    c = d.groupBy("img_id").agg(*(F.when(F.count("r") >= 2, F.covar_samp(p[0], p[1])).otherwise(0.0).alias(p) for p in pairs))
+    product = lambda x, y: total(F.zip_with(x, y, lambda p, q: p * q))
+    c = d.select("img_id", *(F.when(F.col("n") >= 2, product(p[0], p[1]) / (F.col("n") - 1)).otherwise(0.0).alias(p) for p in pairs))
     rr, gg, bb, rg, rb, gb = map(F.col, pairs)
     q = (rr + gg + bb) / 3
     c = c.withColumn("q", q).withColumn("p", F.sqrt((F.pow(rr - q, F.lit(2)) + F.pow(gg - q, F.lit(2)) + F.pow(bb - q, F.lit(2)) + 2 * (rg * rg + rb * rb + gb * gb)) / 6))

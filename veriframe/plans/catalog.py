@@ -256,7 +256,7 @@ def _clip(e: str, low: str = "0.0", high: str = "1.0") -> str:
 _PNG = "lower(path) LIKE '%.png'"
 SCORE_SQL = {
     "fft_score": f"0.40 * {_clip('(-spectral_slope - 1) / 2')} + 0.35 * {_clip('1 - high_freq_ratio / 0.5')} + 0.25 * {_clip('1 - spectral_falloff')}",
-    "eigenvalue_score": f"0.2 * {_clip('abs(eig_dominance - 0.65) / 0.35')} + 0.3 * {_clip('1 - patch_ratio_std / 10')} + 0.3 * {_clip('1 - band_high_ratio / 0.3')} + 0.2 * {_clip('(ln(eig_condition_number) - 3) / 5')}",
+    "eigenvalue_score": f"0.2 * {_clip('abs(eig_dominance - 0.65) / 0.35')} + 0.3 * {_clip('1 - patch_ratio_std / 10')} + 0.3 * {_clip('1 - band_high_ratio / 0.3')} + 0.2 * {_clip('(ln(1 + eig_condition_number) - 3) / 5')}",
     "metadata_score": _clip(f"0.5 - (CASE WHEN meta_has_camera > 0 THEN 0.3 + least(meta_camera_tags * 0.03, 0.15) ELSE 0 END) - 0.1 * meta_has_gps - 0.05 * meta_has_timestamps + (CASE WHEN meta_tag_count > 0 THEN 0 WHEN {_PNG} THEN 0.15 ELSE 0.35 END) + (CASE WHEN meta_has_software > 0 AND meta_has_camera = 0 THEN 0.15 ELSE 0 END)"),
     "noise_score": "0.35 * greatest(0, 1 - noise_spectral_entropy) + 0.35 * least(1, 2 * abs(noise_autocorrelation)) + 0.30 * greatest(0, 1 - least(1, noise_block_var_std / 30))",
     "dct_score": "0.40 * greatest(0, 1 - least(1, dct_coeff_kurtosis / 20)) + 0.30 * least(1, 5 * dct_zigzag_decay) + 0.30 * greatest(0, 1 - least(1, dct_high_freq_energy / 0.05))",
@@ -386,18 +386,44 @@ def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.report(judged(spark, sf_dir), "truth"), "class", "support")
 
 
-@query("SELECT doc_id, quality, ((row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5)::INT AS fold FROM labels")
+def _fold_sql(k: int) -> str:
+    """The folds of k runs in each class; ``c`` has a row's place, its class's rows, and the rows of the classes before."""
+    size = lambda i: f"(floor((start + n - 1 - {i}) / {k}) - floor((start - 1 - {i}) / {k}))"
+    return " + ".join(f"(place >= {' + '.join(size(j) for j in range(i + 1))})::INT" for i in range(k - 1))
+
+
+@query(f"""WITH s AS (SELECT quality, count(*) AS n, coalesce(sum(count(*)) OVER (ORDER BY quality ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM labels GROUP BY quality),
+c AS (SELECT l.doc_id, l.quality, row_number() OVER (PARTITION BY l.quality ORDER BY l.doc_id) - 1 AS place, n::DOUBLE AS n, start::DOUBLE AS start FROM labels l JOIN s ON l.quality = s.quality) SELECT doc_id, quality, {_fold_sql(5)} AS fold FROM c""")
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.stratified_folds(table(spark, sf_dir, "labels"), "quality", "doc_id", 5).select("doc_id", "quality", F.col("fold").cast("int").alias("fold"))
 
 
-@query("""WITH m AS (SELECT doc_id, quality, ((doc_id % 1000003) * 48271 + 462) % 2147483647 AS mix, count(*) OVER (PARTITION BY quality) AS n FROM labels),
-r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY mix, doc_id) AS k FROM m)
-SELECT doc_id, quality, k <= (CASE WHEN n > 10 THEN 10 ELSE floor(n * 0.2) END) AS is_test FROM r""")
+def _holdout_sql(rows: str, label: str, least: int) -> str:
+    return f"""WITH l AS ({rows}), m AS (SELECT doc_id, {label}, ((doc_id % 1000003) * 48271 + doc_id // 1000003 * 69621 + 462) % 2147483647 AS mix, count(*) OVER (PARTITION BY {label}) AS n FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY mix, doc_id) AS k FROM m)
+SELECT doc_id, {label}, k <= (CASE WHEN n < {least} THEN 0 WHEN n < 10 THEN n // 5 ELSE 10 END) AS is_test FROM r"""
+
+
+@query(_holdout_sql("SELECT doc_id, quality FROM labels", "quality", 0))
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.holdout(table(spark, sf_dir, "labels"), "quality", "doc_id").select("doc_id", "quality", "is_test")
 
 
+def _small_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of some ten rows on the smaller tables."""
+    return table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 97).alias("class"))
+
+
+@query(_holdout_sql("SELECT doc_id, n_chars % 97 AS class FROM documents", "class", 0))
+def holdout_small_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.holdout(_small_classes(spark, sf_dir), "class", "doc_id")
+
+
+@query(_holdout_sql("SELECT doc_id, n_chars % 97 AS class FROM documents", "class", 10))
+def holdout_at_least_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.holdout(_small_classes(spark, sf_dir), "class", "doc_id", least=10)
+
+
 @query("SELECT user_id, event_id FROM events WHERE event_id % 33 = 0 AND event_id / 33 < 30")
 def frame_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.frame_sample(table(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id")
@@ -421,10 +447,9 @@ def source_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy(prep.source_label(F.col("name")).alias("source")).agg(F.count("*").alias("n"), F.count(F.when(video != "video", 1)).alias("known_video"))
 
 
-@query(f"WITH {_FILES}, s AS (SELECT *, {_LABEL} AS source FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY name) AS n FROM s) SELECT name, source, 'ai_' || source || '_img_' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE substr(n::VARCHAR, 1, 3) END || lower(regexp_extract(name, '\\.[^.]+$')) AS target FROM k")
+@query(f"WITH {_FILES}, k AS (SELECT name, {_LABEL} AS source, row_number() OVER (ORDER BY name) AS n FROM f WHERE lower(regexp_extract(name, '\\.[^.]+$')) IN ('.png', '.jpg', '.jpeg', '.webp')) SELECT name, source, 'ai_' || source || '_img_' || printf('%03d', n) || regexp_extract(name, '\\.[^.]+$') AS target FROM k")
 def ingest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the registered SQL numbers within the source, and cuts numbers from 1000 on, which this doesn't
-    return prep.ingest_names(_files(spark, sf_dir), by_source=True).select("name", "source", "target")
+    return prep.ingest_names(_files(spark, sf_dir)).select("name", "source", "target")
 
 
 @query(f"WITH {_FILES} SELECT doc_id, lower(regexp_extract(name, '\\.([^.]+)$', 1)) AS ext, lower(regexp_extract(name, '\\.([^.]+)$', 1)) IN {_IN(S.EXTENSIONS)} AS is_image, CASE WHEN lower(regexp_extract(name, '\\.([^.]+)$', 1)) IN {_IN(S.UPLOAD_EXTENSIONS)} AND n_chars * 10000 <= 10485760 THEN 200 ELSE 400 END AS http_status FROM f")
@@ -529,6 +554,6 @@ def rbf_svm_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def linear_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The machine over Fourier features, which larger training sets get."""
+    """The linear machine over Fourier features."""
     rows, names = _svm_rows(spark, sf_dir)
-    return model.with_svm(rows, model.train(rows, names, exact_rows=0).model).select("vec_id", "label", "margin", "probability", "svm_label")
+    return model.with_svm(rows, model.train_fourier(rows, names).model).select("vec_id", "label", "margin", "probability", "svm_label")

@@ -37,6 +37,8 @@ from .common import LOWER, cut, join_skewed, parted, row_keys, text_blocks, word
 from .components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
+#: Text bytes that are fingerprinted at once; places and shingles of them take about a hundred times as much memory.
+BLOCK = 1 << 20
 #: Fingerprints under one key from which words in between replace comparisons; a group of this size costs about as many comparisons as it costs words.
 HOT = 512
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -108,7 +110,7 @@ def fingerprints(body: np.ndarray, offs: np.ndarray) -> np.ndarray:
     h = np.array([digest(data[a:b], SEED) for a, b in zip(begin[head].tolist(), (to[tail] - 1).tolist(), strict=True)], np.uint64)
     rows = np.flatnonzero(shingles)
     edges = np.concatenate([[0], np.cumsum(shingles[rows])])
-    step = 1 << 17  # shingles whose bits are laid out at once
+    step = 1 << 14  # shingles whose bits are laid out at once
     ones = np.zeros((len(rows), 64), np.int64)
     for a in range(0, len(h), step):
         b = min(len(h), a + step)
@@ -122,7 +124,7 @@ def fingerprints(body: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _print_docs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, body, offs in text_blocks(batches):
+    for part, body, offs in text_blocks(batches, limit=BLOCK):
         own = part.drop_columns(["text"])
         yield pa.RecordBatch.from_arrays([*own.columns, pa.array(fingerprints(body, offs).view(np.int64))], names=[*own.schema.names, "fp"])
 

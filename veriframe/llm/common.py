@@ -7,6 +7,7 @@ that kernels work on whole texts without a Python object for each of them.
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -193,6 +194,14 @@ def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[offs[0] : offs[-1]], offs - offs[0]
 
 
+def give_back() -> None:
+    """Return free memory to the system: a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with at most ``limit`` bytes of text each, or one row."""
     for batch in batches:
@@ -202,6 +211,7 @@ def text_blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit:
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, side="right")) - 1)
             yield batch.slice(at, to - at), body[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
+    give_back()
 
 
 def words(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

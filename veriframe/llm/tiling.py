@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import bit_filter, cut, in_filter, join_skewed, mix64, ragged, row_keys, text_blocks, without
 
 MIN_TILE, COVERAGE = 5, 0.5
+#: Text bytes whose words are hashed at once; that takes about 80 times as much memory.
+BLOCK = 1 << 20
 #: A word that no text has: what lies between the parts of a document that are compared.
 GAP = 0
 #: Scripts without blanks (Thai and Lao, Burmese, Khmer, kana, Han), first and last code point of each.
@@ -162,7 +164,7 @@ def greedy_tiles(doc: np.ndarray, item: np.ndarray, least: int = MIN_TILE) -> li
 
 def _items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of each item that has any, and the seeds, in order: its windows."""
-    for part, body, offs in text_blocks(batches):
+    for part, body, offs in text_blocks(batches, limit=BLOCK):
         h, row = tokens(body, offs)
         cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
         some = np.flatnonzero(np.diff(cuts))
@@ -191,7 +193,7 @@ def _hits(sizes: list[int], sent):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
-        for part, body, offs in text_blocks(batches):
+        for part, body, offs in text_blocks(batches, limit=BLOCK):
             h, row = tokens(body, offs)
             at, key, size = [], [], []
             for s in sizes:

@@ -27,6 +27,8 @@ from .tokens import encoder
 
 CAPACITY, PART, MERGE, OPEN = 4096, 2048, 32, 8
 END_ID = 1
+#: Text bytes whose parts are looked up at once.
+BLOCK = 1 << 20
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -79,7 +81,7 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 def _pieces(path: str, end: int, capacity: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end)
-        for part, _, _ in text_blocks(batches):
+        for part, _, _ in text_blocks(batches, limit=BLOCK):
             ids, counts = enc.encode(part.column("text").fill_null("").to_pylist())
             number = -(-counts // capacity)
             row = np.repeat(np.arange(len(counts)), number)

@@ -21,7 +21,7 @@ import numpy as np
 from .common import ragged
 
 #: Parts that a worker remembers, and ids of them, before it starts anew.
-MAX_PARTS, MAX_IDS = 1_000_000, 8_000_000
+MAX_PARTS, MAX_IDS = 200_000, 4_000_000
 
 #: The characters of texts that are split here, and their letters and digits.
 SAFE = re.compile("[\t-\r -~¡-¬®-į]*")
@@ -111,10 +111,10 @@ class Encoder:
                 places.append(parts.add(self.library.encode(text, add_special_tokens=False).ids))
             places.append(0)
             counts.append(len(places) - before)
-        place, first = np.array(places), np.array(parts.first)
+        place, first = np.frombuffer(places, np.int64), np.frombuffer(parts.first, np.int64)
         length = first[place + 1] - first[place]
-        ids = np.array(parts.ids, np.uint32)[ragged(first[place], length)]
-        ends = np.cumsum(np.array(counts))
+        ids = np.frombuffer(parts.ids, np.uint32)[ragged(first[place], length)]
+        ends = np.cumsum(np.frombuffer(counts, np.int64))
         return ids, np.diff(np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], ends])]).astype(np.int64)
 
 

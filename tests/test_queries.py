@@ -156,3 +156,16 @@ def test_ingest_numbers_run_on_past_999(spark):
             want[name] = f"ai_{source}_img_{n:03d}.png"
         got = {r.name: r.target for r in prep.ingest_names(files, by_source=by_source).collect()}
         assert got == want and len(set(got.values())) == 1012
+
+
+def on_texts(spark, tmp_path, name, texts):
+    """A query's rows over documents of these texts, and its SQL's."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"SET threads = 1; CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    return rows(catalog.QUERIES[name](spark, str(tmp_path)).toPandas()), rows(con.execute(catalog.ORACLES[name]).df())
+
+
+def test_eigenvalues_of_texts_without_a_pixel(spark, tmp_path):
+    got, want = on_texts(spark, tmp_path, "channel_cov_eigen", [None, "", "a", "ab", "abc", "abcdef", "abcdefgh"])
+    assert len(got) == 7 and got == want

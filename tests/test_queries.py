@@ -169,3 +169,16 @@ def on_texts(spark, tmp_path, name, texts):
 def test_eigenvalues_of_texts_without_a_pixel(spark, tmp_path):
     got, want = on_texts(spark, tmp_path, "channel_cov_eigen", [None, "", "a", "ab", "abc", "abcdef", "abcdefgh"])
     assert len(got) == 7 and got == want
+
+
+def test_blocks_of_one_variance_split_as_in_sql(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(20):  # the same samples in each block, in other orders; 64 of them with a sum of 2 modulo 4
+        cells = rng.integers(97, 123, 64)
+        cells[0] += (2 - cells.sum()) % 4
+        plot = np.stack([rng.permutation(cells) for _ in range(24)]).reshape(6, 4, 8, 8).transpose(0, 2, 1, 3)
+        texts.append("".join(map(chr, plot.ravel().tolist())))
+    for k, name in enumerate(("plot_texture_split", "plot_block_var_std")):
+        got, want = on_texts(spark, tmp_path / str(k), name, [*texts, None, "", "a" * 255, "b" * 256])
+        assert len(got) == 21 and got == want

@@ -447,3 +447,30 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_over_tables(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_cut_files_go_when_nothing_reads_them(spark):
+    import gc
+    import time
+
+    from veriframe.llm.common import _CUT, cut, free_unread
+
+    def freed(seconds):
+        for _ in range(10 * seconds):
+            gc.collect()
+            spark._jvm.System.gc()
+            free_unread(spark)
+            if path not in {p for p, _ in _CUT[spark.sparkContext.applicationId]}:
+                return True
+            time.sleep(0.1)
+        return False
+
+    one = cut(spark.range(100), "kept")
+    path = _CUT[spark.sparkContext.applicationId][-1][0]
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    made = one.selectExpr("id + 1 AS id").groupBy().sum("id")
+    del one
+    assert not freed(1)
+    total = made.first()[0]
+    del made
+    assert total == 5050 and freed(10) and not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -275,3 +275,14 @@ def test_similar_lines_share_a_band():
 
 def test_digest_helpers_agree():
     assert zlib.crc32(b"abc") == 891568578 and len(hashlib.sha256(b"").hexdigest()) == 64
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab\u00e9\U0001f600", max_size=60), st.text(alphabet="ab\u00e9\U0001f600", max_size=60), st.sampled_from([1, 2, 3, 8]))
+def test_shingle_hashes_are_those_of_the_set(x, y, size):
+    size = max(1, min(size, len(x), len(y)))
+    a, b = (linededup.shingle_hashes(t, size) for t in (x, y))
+    u, v = (linededup.shingle_set(t, size) if t else set() for t in (x, y))
+    assert len(a) == len(u) and len(b) == len(v) and (a[1:] > a[:-1]).all()
+    if u and v:
+        assert linededup.similar(a, b) == (linededup.jaccard(u, v) >= linededup.SIMILARITY)

@@ -286,3 +286,28 @@ def test_shingle_hashes_are_those_of_the_set(x, y, size):
     assert len(a) == len(u) and len(b) == len(v) and (a[1:] > a[:-1]).all()
     if u and v:
         assert linededup.similar(a, b) == (linededup.jaccard(u, v) >= linededup.SIMILARITY)
+
+
+def test_lines_alike_by_chance_do_not_meet():
+    rng = np.random.default_rng(3)
+    parts = [*"the an er on in ou ti re nd st ha".split(), *[" "] * 4]
+    base = ["ab" + "".join(rng.choice(parts, k)) + "yz" for k in rng.integers(20, 80, 3000)]
+    near = [t[:-1] + "x" for t in base[:300]]
+    batch = pa.record_batch({"text": ["\n".join(base[k : k + 100]) for k in range(0, 3000, 100)] + ["\n".join(near)]})
+    sent = pa.Table.from_batches(linededup._band_rows(4)([batch])).sort_by("number")
+    met = pa.Table.from_batches(linededup._met(sent.to_batches()))
+    lines = linededup.Lines(*raw([*base, *near]))
+    key = lines.keys(np.arange(3300)).tolist()
+    pairs = {frozenset(p) for p in zip(met.column("h").to_pylist(), met.column("low").to_pylist())}
+    assert all(frozenset((key[k], key[3000 + k])) in pairs for k in range(300))
+    assert len(pairs) < 400
+
+
+def test_close_lines_keep_all_links():
+    """Lines x < y < z < w of one bucket, of which x and z, y and w, z and w differ in 15 bits: one group, and each line is with another."""
+    h, n = np.arange(4), np.full(4, 60, np.uint8)
+    sketch = np.zeros((4, 2), np.uint64)
+    sketch[:, 0] = [0, (1 << 45) - 1, (1 << 15) - 1, (1 << 30) - 1]
+    key, a, low = linededup.met_in(np.ones(4, np.uint32), h, n, sketch)
+    assert len(set(key.tolist())) == 1 and {*a.tolist(), *low.tolist()} == {0, 1, 2, 3}
+    assert not len(linededup.met_in(np.ones(2, np.uint32), h[:2], n[:2], sketch[:2])[0])

@@ -182,3 +182,10 @@ def test_blocks_of_one_variance_split_as_in_sql(spark, tmp_path):
     for k, name in enumerate(("plot_texture_split", "plot_block_var_std")):
         got, want = on_texts(spark, tmp_path / str(k), name, [*texts, None, "", "a" * 255, "b" * 256])
         assert len(got) == 21 and got == want
+
+
+def test_contrast_on_a_rounding_tie(spark):
+    blocks = spark.createDataFrame([(1, [171.999863748, 229.944532028, 723.347347957, 859.222115862, 905.877785627, 930.779569444]), (2, [3.0, 3.0, 3.0, 3.0])], "img_id long, variances array<double>")
+    got = {r.img_id: r for r in catalog.rounded(raster.texture_split(blocks), "img_id").collect()}
+    assert got[1].texture_contrast == 523.529243
+    assert (got[2].texture_rich_mean, got[2].texture_poor_mean) == (3.0, 0.0)
